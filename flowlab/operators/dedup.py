@@ -12,11 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.operators import clean
+from flowlab.operators.ordering import COPIES, counted, repeat_rows
 from flowlab.schemas import FEATURES, TARGET
-from flowlab.sources.staging import stage
-
-COPIES = "_copies"
-COPIES_PER_STEP = 10_000
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -36,8 +33,7 @@ def dedup_after_clean(df: DataFrame, features: Sequence[str] = FEATURES, target:
 
 def duplicate_report(df: DataFrame) -> DataFrame:
     """Total, distinct and duplicate rows and the duplicate rate in percent, in one pass."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
-    counts = groups.agg(
+    counts = counted(df).agg(
         F.coalesce(F.sum(COPIES), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("unique_rows")
     )
     extra = F.col("total_rows") - F.col("unique_rows")
@@ -68,24 +64,6 @@ def except_all(left: DataFrame, right: DataFrame) -> DataFrame:
     return repeat_rows(rest.where(F.col(COPIES) > 0).select(*left.columns, COPIES))
 
 
-def repeat_rows(df: DataFrame, copies: str = COPIES) -> DataFrame:
-    """Each row as often as its count says. Large counts are cut into steps that are spread over
-    the cluster before they are written out; all other rows stay where they are."""
-    out = [c for c in df.columns if c != copies]
-    counted = stage(df, "copies")
-    n, step = F.col(copies), F.lit(COPIES_PER_STEP).cast("bigint")
-    few = _emit(counted.where(n <= COPIES_PER_STEP).withColumnRenamed(copies, "_size"), out)
-    many = counted.where(n > COPIES_PER_STEP)
-    many = many.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, step)).alias("_from"))
-    many = many.select(*out, "_from", F.least(n - F.col("_from"), step).alias("_size"))
-    return few.unionByName(_emit(many.repartition("_from", *out), out))
-
-
-def _emit(df: DataFrame, out: Sequence[str]) -> DataFrame:
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size")))
-    return df.select(*out, each.alias("_copy")).select(*out)
-
-
 def union_results(*tables: DataFrame, condition: Sequence[str] = (), algorithm: str = "Logistic Regression") -> DataFrame:
     """Result tables under one another: absent columns become null, an absent algorithm gets the
     default name, and `condition` tags each table."""

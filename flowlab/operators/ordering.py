@@ -17,8 +17,8 @@ from flowlab.functions.hashing import SLOTS, leading_bits, row_digest
 from flowlab.sources.staging import join_small, stage
 
 SLICE = "_slice"
-# The low bits of monotonically_increasing_id() count the rows of one partition.
-ROW_BITS = (1 << 33) - 1
+COPIES = "_copies"
+COPIES_PER_STEP = 10_000
 CUT_MARGIN = 0.001
 SKETCH_ACCURACY = 10_000
 
@@ -59,28 +59,55 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
     return joined.withColumns(shifted).drop(SLICE, *(f"{s}_offset" for s in sums))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Distinct rows with their number of copies; copies are merged before the shuffle."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def _total_order(df: DataFrame, order: list[str], by: list[str]) -> list[str]:
+    """The order, continued by all other columns: what still ties are exact copies."""
+    return order + [c for c in df.columns if c not in order and c not in by]
+
+
 def global_index(
     df: DataFrame, order: list[str], by: Sequence[str] = (), index: str = "row_index"
 ) -> DataFrame:
     """Position 0 .. n - 1 of each row in the order (within its group, if `by` is given)."""
     by = list(by)
-    keys = by + order
-    placed = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumns({
-            SLICE: F.spark_partition_id(),
-            "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)),
-        })
+    placed = running_totals(counted(df), by, _total_order(df, order, by), [COPIES])
+    rows = repeat_rows(placed.drop(f"{COPIES}_total"), number="_copy")
+    return rows.withColumn(index, F.col(f"{COPIES}_before") + F.col("_copy")).drop(f"{COPIES}_before", "_copy")
+
+
+def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str) -> DataFrame:
+    """Flags the first `need` rows of each group; copies that straddle the cut are shared out."""
+    placed = running_totals(counted(df), by, _total_order(df, order, by), [COPIES])
+    inside = F.greatest(F.lit(0), F.least(F.col(COPIES), need - F.col(f"{COPIES}_before")))
+    sides = F.array(
+        F.struct(F.lit(True).alias(flag), inside.cast("bigint").alias("_n")),
+        F.struct(F.lit(False).alias(flag), (F.col(COPIES) - inside).cast("bigint").alias("_n")),
     )
-    placed = stage(placed, "index")
-    here = by + [SLICE]
-    # A group starts inside a slice where its first row lies, so places count from there.
-    starts = placed.groupBy(*here).agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_first"))
-    shift = _slice_offsets(starts, by, ["n"]).join(starts.drop("n"), here)
-    shift = shift.select(*here, (F.col("n_offset") - F.col("_first")).alias("_shift"))
-    joined = join_small(placed, shift, here)
-    return joined.withColumn(index, F.col("_place") + F.col("_shift")).drop(SLICE, "_place", "_shift")
+    rows = placed.select(*df.columns, F.inline(sides)).where("_n > 0")
+    return repeat_rows(rows.withColumnRenamed("_n", COPIES))
+
+
+def repeat_rows(df: DataFrame, copies: str = COPIES, number: str | None = None) -> DataFrame:
+    """Each row as often as its count says, numbered from 0 on request. Large counts are cut into
+    steps that are spread over the cluster before they are written out."""
+    out = [c for c in df.columns if c != copies]
+    table = stage(df, "copies")
+    n, first, step = F.col(copies), F.lit(0).cast("bigint"), F.lit(COPIES_PER_STEP).cast("bigint")
+
+    def written(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
+        rows = rows.select(*out, F.explode(F.sequence(start, stop - 1)).alias("_number"))
+        return rows.withColumnRenamed("_number", number) if number else rows.select(*out)
+
+    many = table.where(n > COPIES_PER_STEP)
+    if many.isEmpty():
+        return written(table, first, n)
+    many = many.select("*", F.explode(F.sequence(first, n - 1, step)).alias("_from")).repartition("_from", *out)
+    many = written(many, F.col("_from"), F.least(n, F.col("_from") + step))
+    return written(table.where(n <= COPIES_PER_STEP), first, n).unionByName(many)
 
 
 def hash_cut(
@@ -118,37 +145,29 @@ def hash_cut(
     # No edge: the quota is 0 (or less), nothing is drawn.
     sure = placed.where(F.coalesce(F.col("_slot") != F.col("_edge"), F.lit(True)))
     sure = sure.withColumn(flag, F.coalesce(F.col("_slot") < F.col("_edge"), F.lit(False)))
-    order = ["_digest"] + keys + [c for c in columns if c not in keys and c != group and _orderable(df, c)]
-    close = global_index(placed.where(F.col("_slot") == F.col("_edge")), order, [group], "_rank")
-    close = close.withColumn(flag, F.col("_rank") < F.col("_need"))
+    close = placed.where(F.col("_slot") == F.col("_edge"))
+    close = _first_rows(close, ["_digest", *keys], [group], F.col("_need"), flag)
     out = [*columns, flag]
     return sure.select(out).unionByName(close.select(out))
 
 
-def _orderable(df: DataFrame, column: str) -> bool:
-    kind = df.schema[column].dataType
-    return isinstance(kind, (T.AtomicType, T.NullType))
-
-
 def order_cut(df: DataFrame, order: list[str], k: int, n: int, flag: str = "in_head") -> DataFrame:
     """Marks the first k of n rows in the given order.
 
     Quantiles of the leading column bracket the cut, so all but a sliver of the rows is decided
-    by a comparison; the sliver is indexed. Without a usable leading column, or when the bracket
-    misses, everything is indexed.
+    by a comparison; the sliver is put in order. Without a usable leading column, or when the
+    bracket misses, everything is. df is scanned four times.
     """
     out = [*df.columns, flag]
     lead = F.col(order[0])
     bracket = _bracket(df, order[0], k, n)
     if bracket is None:
-        indexed = global_index(df, order)
-        return indexed.withColumn(flag, F.col("row_index") < k).select(out)
+        return _first_rows(df, order, [], F.lit(k), flag).select(out)
     low, high, below = bracket
     # Nulls sort first.
     sure = df.where(lead.isNull() | (lead < low) | (lead > high))
     sure = sure.withColumn(flag, lead.isNull() | (lead < low))
-    close = global_index(df.where((lead >= low) & (lead <= high)), order)
-    close = close.withColumn(flag, F.col("row_index") < k - below)
+    close = _first_rows(df.where((lead >= low) & (lead <= high)), order, [], F.lit(k - below), flag)
     return sure.select(out).unionByName(close.select(out))
 
 

@@ -132,10 +132,10 @@ def strict_split(df: DataFrame, order: list[str], trees: int = 100, head: float
 
 def cross_source(train: DataFrame, test: DataFrame, trees: int = 100, **labels) -> Run:
     """Train on one source with balanced class weights, test on another."""
-    train = add_class_weights(complete(dedup.distinct_rows(train)))
-    test = complete(dedup.distinct_rows(test))
+    train, test = complete(dedup.distinct_rows(train)), complete(dedup.distinct_rows(test))
     pipeline = models.stages(models.forest(trees, weight="class_weight"))
-    return split_run(train, test, pipeline, **labels)
+    with kept(train):
+        return run(add_class_weights(train), test, pipeline, train.count(), **labels)
 
 
 def rung_counts(table: DataFrame, keys: list[str], fractions: Sequence[float] = LADDER) -> DataFrame:
@@ -223,11 +223,11 @@ def ablation(
 ) -> DataFrame:
     """The full model, then one model without each feature, all on one ordered split. Vectors are
     assembled once; two fits run at a time, so stages with few tasks do not leave cores idle."""
-    table = complete(dedup.distinct_rows(df), order, features)
-    vectors = assemble(table, features, "all_features").select(*order, "all_features", TARGET)
-    vectors = stage(vectors, "vectors")
-    sides = split.split_ordered(vectors, order, train)
-    train_side, test_side = (s.select("all_features", TARGET) for s in sides)
+    table = stage(complete(dedup.distinct_rows(df), order, features), "distinct")
+    train_side, test_side = (
+        assemble(side, features, "all_features").select("all_features", TARGET)
+        for side in split.split_ordered(table, order, train)
+    )
 
     def one(removed: str | None) -> dict:
         name = "Full Model" if removed is None else f"Without {removed}"

@@ -39,7 +39,7 @@ def sample_to_gold(silver: DataFrame) -> DataFrame:
 def run_flows(spark: SparkSession, raw: str, area: str) -> DataFrame:
     """All stages of the flow tables, from a folder of Parquet files; returns the gold table."""
     bronze = tables.ingest(spark, raw, f"{area}/bronze")
-    tables.write_table(flows_to_silver(bronze), f"{area}/silver")
+    tables.write_table(flows_to_silver(bronze), f"{area}/silver", shuffled=True)
     silver = tables.read_table(spark, f"{area}/silver")
     tables.write_table(flows_to_gold(silver), f"{area}/gold")
     return tables.read_table(spark, f"{area}/gold")

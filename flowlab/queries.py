@@ -133,14 +133,14 @@ def _silver(spark, folder) -> DataFrame:
 @query
 def silver_write(spark, folder):
     path = _folder(spark, "silver")
-    tables.write_table(_silver(spark, folder), path)
+    tables.write_table(_silver(spark, folder), path, shuffled=True)
     return shown(tables.read_table(spark, path))
 
 
 @query
 def gold_write(spark, folder):
     path = _folder(spark, "gold")
-    tables.write_table(medallion.flows_to_gold(_silver(spark, folder)), path)
+    tables.write_table(medallion.flows_to_gold(_silver(spark, folder)), path, shuffled=True)
     return shown(tables.read_table(spark, path))
 
 
@@ -388,12 +388,12 @@ def separability_ranking(spark, folder):
 
 @query
 def correlation_matrix(spark, folder):
-    return rounded(analysis.correlation_matrix(analysis.correlation(gold(spark, folder))))
+    return rounded(analysis.correlation_matrix(analysis.correlation(stage(gold(spark, folder), "gold"))))
 
 
 @query
 def high_correlation_pairs(spark, folder):
-    return rounded(analysis.high_correlations(analysis.correlation(gold(spark, folder))))
+    return rounded(analysis.high_correlations(analysis.correlation(stage(gold(spark, folder), "gold"))))
 
 
 @query

@@ -65,16 +65,17 @@ def read_recursive(spark: SparkSession, root: str, preferred: str = PREFERRED) -
         return reader.option("pathGlobFilter", "*.parquet").parquet(root)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str, shuffled: bool = False) -> None:
     """Replace the partitions of a stage table that df has rows for.
 
-    A task keeps one open file per source it meets, so files stay large without a shuffle that
-    would send a hot source to one task.
+    Rows in scan order meet few sources per task. After a shuffle every task holds every source;
+    they are then gathered by source, where AQE splits large sources over several tasks.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if SOURCE in df.columns:
-        writer = writer.partitionBy(SOURCE)
-    writer.parquet(path)
+    if SOURCE not in df.columns:
+        df.write.mode("overwrite").parquet(path)
+        return
+    table = df.hint("rebalance", SOURCE) if shuffled else df
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:
