@@ -141,8 +141,12 @@ def hash_cut(
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("n")))
         .select(group, F.col("_slot").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    placed = join_small(marked, edges, [group], "left")
     # No edge: the quota is 0 (or less), nothing is drawn.
+    if by:
+        placed = join_small(marked, edges, [group], "left")
+    else:
+        edge = edges.select("_edge", "_need").first() or (None, None)
+        placed = marked.withColumns({"_edge": F.lit(edge[0]).cast("int"), "_need": F.lit(edge[1]).cast("bigint")})
     sure = placed.where(F.coalesce(F.col("_slot") != F.col("_edge"), F.lit(True)))
     sure = sure.withColumn(flag, F.coalesce(F.col("_slot") < F.col("_edge"), F.lit(False)))
     close = placed.where(F.col("_slot") == F.col("_edge"))

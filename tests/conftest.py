@@ -8,11 +8,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
         "flowlab-tests",
         **{
             "spark.master": "local[8]", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false",
         },
     )
