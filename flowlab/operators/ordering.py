@@ -19,6 +19,8 @@ from flowlab.sources.staging import join_small, stage
 SLICE = "_slice"
 COPIES = "_copies"
 COPIES_PER_STEP = 10_000
+# Rows that may be put in order by one task.
+ONE_TASK_ROWS = 100_000
 CUT_MARGIN = 0.001
 SKETCH_ACCURACY = 10_000
 
@@ -79,16 +81,23 @@ def global_index(
     return rows.withColumn(index, F.col(f"{COPIES}_before") + F.col("_copy")).drop(f"{COPIES}_before", "_copy")
 
 
-def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str) -> DataFrame:
-    """Flags the first `need` rows of each group; copies that straddle the cut are shared out."""
-    placed = running_totals(counted(df), by, _total_order(df, order, by), [COPIES])
+def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str, size: int | None) -> DataFrame:
+    """Flags the first `need` rows of each group. `size` is the known number of rows: few are put
+    in order by a plain window, many by slices, where copies that straddle the cut are shared
+    out."""
+    out = [*df.columns, flag]
+    total = _total_order(df, order, by)
+    if size is not None and size <= ONE_TASK_ROWS:
+        place = F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*total))
+        return df.withColumn(flag, place <= need).select(out)
+    placed = running_totals(counted(df), by, total, [COPIES])
     inside = F.greatest(F.lit(0), F.least(F.col(COPIES), need - F.col(f"{COPIES}_before")))
     sides = F.array(
         F.struct(F.lit(True).alias(flag), inside.cast("bigint").alias("_n")),
         F.struct(F.lit(False).alias(flag), (F.col(COPIES) - inside).cast("bigint").alias("_n")),
     )
     rows = placed.select(*df.columns, F.inline(sides)).where("_n > 0")
-    return repeat_rows(rows.withColumnRenamed("_n", COPIES))
+    return repeat_rows(rows.withColumnRenamed("_n", COPIES)).select(out)
 
 
 def repeat_rows(df: DataFrame, copies: str = COPIES, number: str | None = None) -> DataFrame:
@@ -139,8 +148,11 @@ def hash_cut(
         slots.withColumn("_before", _before("n", [group], ["_slot"]))
         .join(wanted, group)
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("n")))
-        .select(group, F.col("_slot").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_need"))
+        .select(group, F.col("_slot").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_need"), "n")
     )
+    edges = stage(edges, "edges")
+    size = edges.agg(F.sum("n")).first()[0] or 0
+    edges = edges.drop("n")
     # No edge: the quota is 0 (or less), nothing is drawn.
     if by:
         placed = join_small(marked, edges, [group], "left")
@@ -150,7 +162,7 @@ def hash_cut(
     sure = placed.where(F.coalesce(F.col("_slot") != F.col("_edge"), F.lit(True)))
     sure = sure.withColumn(flag, F.coalesce(F.col("_slot") < F.col("_edge"), F.lit(False)))
     close = placed.where(F.col("_slot") == F.col("_edge"))
-    close = _first_rows(close, ["_digest", *keys], [group], F.col("_need"), flag)
+    close = _first_rows(close, ["_digest", *keys], [group], F.col("_need"), flag, size)
     out = [*columns, flag]
     return sure.select(out).unionByName(close.select(out))
 
@@ -166,16 +178,16 @@ def order_cut(df: DataFrame, order: list[str], k: int, n: int, flag: str = "in_h
     lead = F.col(order[0])
     bracket = _bracket(df, order[0], k, n)
     if bracket is None:
-        return _first_rows(df, order, [], F.lit(k), flag).select(out)
-    low, high, below = bracket
+        return _first_rows(df, order, [], F.lit(k), flag, n)
+    low, high, below, size = bracket
     # Nulls sort first.
     sure = df.where(lead.isNull() | (lead < low) | (lead > high))
     sure = sure.withColumn(flag, lead.isNull() | (lead < low))
-    close = _first_rows(df.where((lead >= low) & (lead <= high)), order, [], F.lit(k - below), flag)
+    close = _first_rows(df.where((lead >= low) & (lead <= high)), order, [], F.lit(k - below), flag, size)
     return sure.select(out).unionByName(close.select(out))
 
 
-def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column, int] | None:
+def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column, int, int] | None:
     kind = df.schema[lead].dataType
     exact = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
     if not isinstance(kind, exact) or not 0 < k < n:
@@ -190,4 +202,4 @@ def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column,
     below, upto = df.agg(
         F.count_if(c.isNull() | (c < low)), F.count_if(c.isNull() | (c <= high))
     ).first()
-    return (low, high, below) if below <= k <= upto else None
+    return (low, high, below, upto - below) if below <= k <= upto else None

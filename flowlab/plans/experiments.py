@@ -111,8 +111,23 @@ def split_run(train: DataFrame, test: DataFrame, pipeline: Pipeline, **labels) -
 
 
 def random_split(df: DataFrame, keys: list[str], pipeline: Pipeline, **labels) -> Run:
-    """About 80 / 20 by key digest."""
-    return split_run(*split.hash_split(prepared(df, keys), keys), pipeline, **labels)
+    """About 80 / 20 by key digest; both sides are filters over one kept table."""
+    marked = _marked(df, keys)
+    with kept(marked):
+        start = perf_counter()
+        train, test = _sides(marked)
+        return run(train, test, pipeline, train.count(), split_time_sec=perf_counter() - start, **labels)
+
+
+def _marked(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Prepared rows with their sample and split buckets."""
+    buckets = bucket(keys, "sample").alias("_sample"), bucket(keys, "split").alias("_side")
+    return prepared(df, keys).select(*FEATURES, TARGET, *buckets)
+
+
+def _sides(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    side = F.col("_side")
+    return marked.where(side < TRAIN_EDGE), marked.where(side >= TRAIN_EDGE)
 
 
 def ordered_split(df: DataFrame, order: list[str], trees: int = 50, **labels) -> Run:
@@ -134,7 +149,8 @@ def cross_source(train: DataFrame, test: DataFrame, trees: int = 100, **labels)
     """Train on one source with balanced class weights, test on another."""
     train, test = complete(dedup.distinct_rows(train)), complete(dedup.distinct_rows(test))
     pipeline = models.stages(models.forest(trees, weight="class_weight"))
-    with kept(train):
+    with kept(train, test):
+        forced(test)
         return run(add_class_weights(train), test, pipeline, train.count(), **labels)
 
 
@@ -166,9 +182,7 @@ def ladder(
     """One run per fraction over nested samples. The sample and split buckets are computed once
     on the kept table, so a rung is a filter. Rungs under 100 rows are skipped."""
     start = perf_counter()
-    marked = prepared(df, keys).select(
-        *FEATURES, TARGET, bucket(keys, "sample").alias("_sample"), bucket(keys, "split").alias("_side")
-    )
+    marked = _marked(df, keys)
     rows = []
     with kept(marked):
         forced(marked)
@@ -184,8 +198,7 @@ def ladder(
             train_rows, test_rows = counts[f"train{i}"], counts[f"test{i}"]
             if train_rows + test_rows < MIN_ROWS:
                 continue
-            rung = marked.where(F.col("_sample") < round(f * BUCKETS))
-            train, test = rung.where(F.col("_side") < TRAIN_EDGE), rung.where(F.col("_side") >= TRAIN_EDGE)
+            train, test = _sides(marked.where(F.col("_sample") < round(f * BUCKETS)))
             rows.append(run(
                 train, test, make(train_rows), train_rows, dataset_size=f"{f:.0%}", fraction=float(f),
                 preparation_time_sec=preparation, selection_time_sec=selection, **labels,

@@ -65,6 +65,12 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     return features.add_target(flows).select(*KEYS, "flow_ts", SOURCE, *FEATURES, OPTIONAL_FEATURE, TARGET)
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows before deduplication, for the experiments that remove copies themselves."""
+    flows = features.add_target(clean.normalise_label(view(spark, folder, "flows")))
+    return flows.select(*KEYS, "flow_ts", SOURCE, *FEATURES, OPTIONAL_FEATURE, TARGET)
+
+
 def finite_gold(spark: SparkSession, folder: str) -> DataFrame:
     """Gold rows in which every feature is a finite number."""
     table = clean.cast_features(gold(spark, folder).select(*KEYS, SOURCE, *FEATURES, TARGET))
@@ -545,20 +551,20 @@ def forest_metrics(spark, folder):
 @query
 def ordered_forest(spark, folder):
     return _metrics(spark, experiments.ordered_split(
-        gold(spark, folder), ORDER, experiment="ordered split", algorithm="Random Forest"
+        labelled(spark, folder), ORDER, experiment="ordered split", algorithm="Random Forest"
     ))
 
 
 @query
 def strict_generalization(spark, folder):
     return _metrics(spark, experiments.strict_split(
-        gold(spark, folder), ORDER, experiment="strict split", algorithm="Random Forest"
+        labelled(spark, folder), ORDER, experiment="strict split", algorithm="Random Forest"
     ))
 
 
 @query
 def weighted_forest_cross_dataset(spark, folder):
-    sides = split.split_by_source(stage(gold(spark, folder), "gold"), "botnet", "bruteforce")
+    sides = split.split_by_source(labelled(spark, folder), "botnet", "bruteforce")
     return _metrics(spark, experiments.cross_source(
         *sides, experiment="cross source", algorithm="Random Forest"
     ))
@@ -580,7 +586,7 @@ def feature_importance(spark, folder):
 
 @query
 def feature_ablation(spark, folder):
-    return experiments.ablation(gold(spark, folder), ORDER, trees=10)
+    return experiments.ablation(labelled(spark, folder), ORDER, trees=10)
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -646,7 +652,7 @@ def robust_ladder_counts(spark, folder):
 @query
 def scalability_ladder(spark, folder):
     return experiments.ladder(
-        dedup.distinct_rows(gold(spark, folder)), KEYS, lambda n: models.stages(models.forest(20)),
+        gold(spark, folder), KEYS, lambda n: models.stages(models.forest(20)),
         LONG_LADDER, experiment="scalability", algorithm="Random Forest",
     )
 

@@ -29,9 +29,11 @@ def rows(request):
     return some_rows(request.param[0], hot=request.param[1])
 
 
-@pytest.fixture(params=[10_000, 7], ids=["whole", "stepped"])
+@pytest.fixture(params=[(100_000, 10_000), (0, 10_000), (0, 7)], ids=["window", "slices", "stepped"])
 def step(request, monkeypatch):
-    monkeypatch.setattr(ordering, "COPIES_PER_STEP", request.param)
+    """Few rows are ordered by one task; many by slices; large groups of copies in steps."""
+    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", request.param[0])
+    monkeypatch.setattr(ordering, "COPIES_PER_STEP", request.param[1])
 
 
 def frame(spark, rows, parts=5):

@@ -52,7 +52,8 @@ def _windows_in_one_task(text: str) -> bool:
 @pytest.mark.parametrize("name", [
     "class_stats", "feature_auc", "roc_auc", "pr_auc", "split_exact", "split_ordered", "sample_with_replacement",
 ])
-def test_no_window_over_all_rows(spark, staged, name):
+def test_no_window_over_all_rows(spark, staged, name, monkeypatch):
+    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 0)
     final = plan(entry.queries()[name](spark, SMALL))
     assert not any(map(_windows_in_one_task, [*staged, final]))
 
