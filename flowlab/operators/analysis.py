@@ -18,24 +18,26 @@ HIGH_CORRELATION = 0.70
 
 
 def value_counts(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
-    """(feature, value, n0, n1): rows per finite value and class.
+    """(position, value, n0, n1): rows per finite value and class, by position in the feature list
+    (a short key for what may be as long as the data).
 
     Copies are merged inside each task, so a hot value costs one row per task in the shuffle.
     """
     y = F.col(target)
-    long = df.select(y, *(finite(F.col(f)).alias(f) for f in features)).unpivot(
-        [target], list(features), "feature", "value"
+    named = {str(i): f for i, f in enumerate(features)}
+    long = df.select(y, *(finite(F.col(f)).alias(i) for i, f in named.items())).unpivot(
+        [target], list(named), "position", "value"
     )
     return (
         long.where(F.col("value").isNotNull() & y.isin(0, 1))
-        .groupBy("feature", "value")
+        .groupBy(F.col("position").cast("int").alias("position"), "value")
         .agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"))
     )
 
 
 def ranked_values(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
     """value_counts with the rows of each class below every value."""
-    return running_totals(value_counts(df, features, target), ["feature"], ["value"], ["n0", "n1"])
+    return running_totals(value_counts(df, features, target), ["position"], ["value"], ["n0", "n1"])
 
 
 def auc_of(n0: Column, n1: Column, n0_before: Column, n0_total: Column, n1_total: Column) -> Column:
@@ -53,13 +55,15 @@ def _median(k: int) -> Column:
     return (at(F.floor((total + 1) / 2)) + at(F.ceil((total + 1) / 2))) / 2
 
 
-def rank_statistics(ranked: DataFrame) -> DataFrame:
+def rank_statistics(ranked: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Median per class, AUC and separability per feature, from one pass over ranked values."""
     auc = auc_of(*(F.col(c) for c in ("n0", "n1", "n0_before", "n0_total", "n1_total")))
-    out = ranked.groupBy("feature").agg(
+    out = ranked.groupBy("position").agg(
         _median(0).alias("normal_median"), _median(1).alias("attack_median"), auc.alias("auc")
     )
-    return out.withColumn("separability_auc", F.greatest("auc", 1 - F.col("auc")))
+    name = F.array(*map(F.lit, features))[F.col("position")].alias("feature")
+    separability_auc = F.greatest("auc", 1 - F.col("auc")).alias("separability_auc")
+    return out.select(name, "normal_median", "attack_median", "auc", separability_auc)
 
 
 def class_moments(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
@@ -107,7 +111,7 @@ def effect_band(d: Column) -> Column:
 def separability(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
     """One row per feature: counts, means, medians, AUC, separability and effect size."""
     moments = class_moments(df, features, target)
-    ranks = rank_statistics(ranked_values(df, features, target))
+    ranks = rank_statistics(ranked_values(df, features, target), features)
     return moments.join(ranks, "feature", "left").select(
         "feature", "normal_count", "attack_count", "normal_mean", "attack_mean",
         "normal_median", "attack_median", "auc", "separability_auc",
