@@ -51,8 +51,15 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
 
     (by, order) must be unique: pre-aggregate first, which also takes care of hot values.
     """
-    keys = by + order
-    sliced = stage(df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()), "running")
+    return _within(_sliced(df, by + order), by, order, sums)
+
+
+def _sliced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Staged rows with the number of their range partition."""
+    return stage(df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()), "slices")
+
+
+def _within(sliced: DataFrame, by: list[str], order: list[str], sums: list[str]) -> DataFrame:
     here = by + [SLICE]
     totals = sliced.groupBy(*here).agg(*(F.sum(s).alias(s) for s in sums))
     local = sliced.withColumns({f"{s}_before": _before(s, here, order) for s in sums})
@@ -71,40 +78,50 @@ def _total_order(df: DataFrame, order: list[str], by: list[str]) -> list[str]:
     return order + [c for c in df.columns if c not in order and c not in by]
 
 
+def _placed(df: DataFrame, order: list[str], by: list[str]) -> tuple[DataFrame, bool]:
+    """Distinct rows with their copies and the rows before them; and whether any has so many
+    copies that they must be written out in steps."""
+    total = _total_order(df, order, by)
+    sliced = _sliced(counted(df), by + total)
+    hot = not sliced.where(F.col(COPIES) > COPIES_PER_STEP).isEmpty()
+    return _within(sliced, by, total, [COPIES]), hot
+
+
 def global_index(
     df: DataFrame, order: list[str], by: Sequence[str] = (), index: str = "row_index"
 ) -> DataFrame:
     """Position 0 .. n - 1 of each row in the order (within its group, if `by` is given)."""
-    by = list(by)
-    placed = running_totals(counted(df), by, _total_order(df, order, by), [COPIES])
-    rows = repeat_rows(placed.drop(f"{COPIES}_total"), number="_copy")
+    placed, hot = _placed(df, order, list(by))
+    rows = repeat_rows(placed.drop(f"{COPIES}_total"), number="_copy", hot=hot)
     return rows.withColumn(index, F.col(f"{COPIES}_before") + F.col("_copy")).drop(f"{COPIES}_before", "_copy")
 
 
-def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str, size: int | None) -> DataFrame:
+def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str, size: int) -> DataFrame:
     """Flags the first `need` rows of each group. `size` is the known number of rows: few are put
     in order by a plain window, many by slices, where copies that straddle the cut are shared
     out."""
     out = [*df.columns, flag]
-    total = _total_order(df, order, by)
-    if size is not None and size <= ONE_TASK_ROWS:
-        place = F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*total))
-        return df.withColumn(flag, place <= need).select(out)
-    placed = running_totals(counted(df), by, total, [COPIES])
+    if size <= ONE_TASK_ROWS:
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*_total_order(df, order, by))
+        return df.withColumn(flag, F.row_number().over(w) <= need).select(out)
+    placed, hot = _placed(df, order, by)
     inside = F.greatest(F.lit(0), F.least(F.col(COPIES), need - F.col(f"{COPIES}_before")))
     sides = F.array(
         F.struct(F.lit(True).alias(flag), inside.cast("bigint").alias("_n")),
         F.struct(F.lit(False).alias(flag), (F.col(COPIES) - inside).cast("bigint").alias("_n")),
     )
     rows = placed.select(*df.columns, F.inline(sides)).where("_n > 0")
-    return repeat_rows(rows.withColumnRenamed("_n", COPIES)).select(out)
+    return repeat_rows(rows.withColumnRenamed("_n", COPIES), hot=hot).select(out)
 
 
-def repeat_rows(df: DataFrame, copies: str = COPIES, number: str | None = None) -> DataFrame:
+def repeat_rows(
+    df: DataFrame, copies: str = COPIES, number: str | None = None, hot: bool | None = None
+) -> DataFrame:
     """Each row as often as its count says, numbered from 0 on request. Large counts are cut into
-    steps that are spread over the cluster before they are written out."""
+    steps that are spread over the cluster before they are written out; `hot` says whether there
+    are any, if that is known."""
     out = [c for c in df.columns if c != copies]
-    table = stage(df, "copies")
+    table = df if hot is False else stage(df, "copies")
     n, first, step = F.col(copies), F.lit(0).cast("bigint"), F.lit(COPIES_PER_STEP).cast("bigint")
 
     def written(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
@@ -112,7 +129,7 @@ def repeat_rows(df: DataFrame, copies: str = COPIES, number: str | None = None)
         return rows.withColumnRenamed("_number", number) if number else rows.select(*out)
 
     many = table.where(n > COPIES_PER_STEP)
-    if many.isEmpty():
+    if hot is False or many.isEmpty():
         return written(table, first, n)
     many = many.select("*", F.explode(F.sequence(first, n - 1, step)).alias("_from")).repartition("_from", *out)
     many = written(many, F.col("_from"), F.least(n, F.col("_from") + step))
@@ -141,7 +158,8 @@ def hash_cut(
         "_slot": F.shiftright(leading_bits(digest), 16).cast("int"),
         **({} if by else {group: F.lit(0)}),
     })
-    slots = stage(marked.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("n")), "slots")
+    classed = marked.where(F.col(group).isNotNull())
+    slots = stage(classed.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("n")), "slots")
     wanted = quota(slots.groupBy(group).agg(F.sum("n").alias("n"))).select(group, "quota")
     # At most SLOTS rows per group pass through this window.
     edges = (

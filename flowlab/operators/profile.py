@@ -43,8 +43,13 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    rows = [(i, c, t) for i, (c, t) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
+    """Position, name and type of every column, and how many values it holds."""
+    row = df.agg(*(
+        F.count_if(~is_missing(F.col(f"`{c}`"), is_floating(df, c))).alias(f"_{i}")
+        for i, c in enumerate(df.columns)
+    ))
+    entries = {c: [F.lit(i), F.lit(t), F.col(f"_{i}")] for i, (c, t) in enumerate(df.dtypes)}
+    return melt(row, entries, ["column_name", "position", "column_type", "n_values"])
 
 
 def label_counts(df: DataFrame, label: str = RAW_LABEL) -> DataFrame:

@@ -143,6 +143,16 @@ RULES = {
 NULL_COLUMNS = [*KEYS, "flow_ts", "source_file", *FEATURES, "Average_Packet_Size", "Empty_Column", "Label"]
 MISSING = {c: f"{c} IS NULL" for c in NULL_COLUMNS} | {ODD: f"{ODD} IS NULL OR isnan({ODD})"}
 
+# Spark's names for the column types of the flow view, by position.
+FLOW_TYPES = {
+    "k1": "bigint", "k2": "bigint", "k3": "bigint", "k4": "int", "flow_ts": "timestamp_ntz",
+    "source_file": "string", "Protocol": "int", "Flow_Duration": "bigint", "Total_Fwd_Packets": "bigint",
+    "Total_Backward_Packets": "bigint", "Fwd_Packets_Length_Total": "double",
+    "Bwd_Packets_Length_Total": "double", "Flow_Bytes_per_s": "double", "Flow_Packets_per_s": "double",
+    "Packet_Length_Mean": "double", "Packet_Length_Std": "double", "Average_Packet_Size": "double",
+    "Empty_Column": "double", "Label": "string",
+}
+
 
 def _measure_entries(columns) -> str:
     return " UNION ALL ".join(
@@ -209,6 +219,10 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "null_counts": f"{FLOWS}, c AS (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER ({m}) AS null_count FROM flows" for c, m in MISSING.items()
     ) + ") SELECT * FROM c UNION ALL SELECT '*', CAST(sum(null_count) AS BIGINT) FROM c",
+    "schema_report": f"{FLOWS} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {i} AS position, '{t}' AS column_type, count(*) FILTER (NOT ({MISSING[c]})) AS n_values FROM flows"
+        for i, (c, t) in enumerate(FLOW_TYPES.items())
+    ),
     "label_counts": f"{SILVER} SELECT source_file, Label, count(*) AS n_rows FROM silver WHERE Label IS NOT NULL GROUP BY source_file, Label",
     "class_distribution": f"{GOLD} SELECT is_attack, count(*) AS n_rows FROM gold GROUP BY is_attack",
     "class_share": f"{GOLD} SELECT CASE is_attack WHEN 0 THEN 'Normal' ELSE 'Attack' END AS class_name, count(*) AS n_rows, round(100e0 * count(*) / (SELECT count(*) FROM gold), 6) AS share_percent FROM gold GROUP BY is_attack",

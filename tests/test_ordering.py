@@ -113,6 +113,14 @@ def test_stratified_sizes(spark, rows, step):
     assert Counter(map(tuple, train.collect())) + Counter(map(tuple, test.collect())) == Counter(rows)
 
 
+def test_rows_without_a_class_are_not_drawn(spark):
+    df = spark.range(90).selectExpr("id", "if(id % 3 = 0, null, cast(id % 3 as int)) as is_attack")
+    got = split.stratified_sample(df, 20, ["id"]).collect()
+    assert Counter(r.is_attack for r in got) == {1: 10, 2: 10}
+    train, test = split.split_stratified(df, ["id"])
+    assert (train.count(), test.count()) == (48, 42)
+
+
 def test_draws_follow_the_digest(spark):
     df = spark.range(500).selectExpr("id", "cast(id % 2 as int) as is_attack").repartition(7)
     got = {r.id for r in split.stratified_sample(df, 100, ["id"]).collect()}

@@ -26,7 +26,7 @@ ORDER_SENSITIVE = [
 
 def test_every_query_is_checked():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == MODELS | {"schema_report"}
+    assert set(QUERIES) - set(SQL) == MODELS
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -51,8 +51,3 @@ def test_any_partitioning(spark, duck, monkeypatch, name, parts):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert [r["is_attack"] for r in rows] == [0, 1] and sum(r["n_rows"] for r in rows) > 5000
-
-
-def test_schema_report(spark):
-    report = {r.column_name: r.column_type for r in QUERIES["schema_report"](spark, SMALL).collect()}
-    assert report["k1"] == "bigint" and report["Flow_Bytes_per_s"] == "double" and report["Label"] == "string"
