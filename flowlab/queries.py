@@ -6,7 +6,8 @@ them is shown as a finite value and a kind. Computed doubles are rounded.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from flowlab.operators import (
 )
 from flowlab.plans import experiments, medallion
 from flowlab.schemas import (
-    FEATURES, LONG_LADDER, METRICS, OPTIONAL_FEATURE, RAW_LABEL, SAMPLE_RAW, SOURCE, TARGET,
+    FEATURES, LONG_LADDER, OPTIONAL_FEATURE, RAW_LABEL, SAMPLE_RAW, SOURCE, TARGET,
 )
 from flowlab.sources import tables
 from flowlab.sources.staging import shared_folder, stage
@@ -78,8 +79,6 @@ def finite_gold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -570,6 +569,18 @@ def weighted_forest_cross_dataset(spark, folder):
     ))
 
 
+@query
+def weighted_forest_learnable(spark, folder):
+    """The cross-source run on a target that follows from two features; the given label follows
+    from none, so its trees grow to full size."""
+    learnable = (F.col("Fwd_Packets_Length_Total") > 1500 * F.col("Total_Fwd_Packets")).cast("int")
+    table = labelled(spark, folder).withColumn(TARGET, learnable)
+    return _metrics(spark, experiments.cross_source(
+        *split.split_by_source(table, "botnet", "bruteforce"),
+        experiment="cross source, learnable", algorithm="Random Forest",
+    ))
+
+
 @query
 def batch_scoring(spark, folder):
     train, test = split.hash_split(experiments.prepared(gold(spark, folder), KEYS), KEYS)

@@ -13,7 +13,7 @@ SQL = entry.oracle_sql()
 QUERIES = entry.queries()
 MODELS = {
     "model_stages", "logreg_metrics", "logreg_l2_metrics", "forest_metrics", "ordered_forest",
-    "strict_generalization", "weighted_forest_cross_dataset", "batch_scoring", "feature_importance",
+    "strict_generalization", "weighted_forest_cross_dataset", "weighted_forest_learnable", "batch_scoring", "feature_importance",
     "feature_ablation", "scalability_ladder", "logistic_ladder", "robust_ladder", "exact_size_ladder",
 }
 # Results that depend on an order, a draw or a cumulative sum.
@@ -48,6 +48,11 @@ def test_any_partitioning(spark, duck, monkeypatch, name, parts):
     assert difference(spark_table(QUERIES[name](spark, SMALL)), sql_table(duck, SQL[name])) == ""
 
 
+def test_learnable_target_is_learned(spark):
+    row = QUERIES["weighted_forest_learnable"](spark, SMALL).first()
+    assert row.roc_auc > 0.95 and row.tn + row.fp + row.fn + row.tp == row.test_rows
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert [r["is_attack"] for r in rows] == [0, 1] and sum(r["n_rows"] for r in rows) > 5000
