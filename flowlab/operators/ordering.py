@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.functions.hashing import SLOTS, leading_bits, row_digest
-from flowlab.sources.staging import join_small, stage
+from flowlab.sources.staging import stage
 
 SLICE = "_slice"
 COPIES = "_copies"
@@ -63,7 +63,8 @@ def _within(sliced: DataFrame, by: list[str], order: list[str], sums: list[str])
     here = by + [SLICE]
     totals = sliced.groupBy(*here).agg(*(F.sum(s).alias(s) for s in sums))
     local = sliced.withColumns({f"{s}_before": _before(s, here, order) for s in sums})
-    joined = join_small(local, _slice_offsets(totals, by, sums), here)
+    # Staged, so its size is known: a small table is broadcast, a large one is not.
+    joined = local.join(stage(_slice_offsets(totals, by, sums), "offsets"), here)
     shifted = {f"{s}_before": F.col(f"{s}_before") + F.col(f"{s}_offset") for s in sums}
     return joined.withColumns(shifted).drop(SLICE, *(f"{s}_offset" for s in sums))
 
@@ -173,7 +174,7 @@ def hash_cut(
     edges = edges.drop("n")
     # No edge: the quota is 0 (or less), nothing is drawn.
     if by:
-        placed = join_small(marked, edges, [group], "left")
+        placed = marked.join(edges, [group], "left")
     else:
         edge = edges.select("_edge", "_need").first() or (None, None)
         placed = marked.withColumns({"_edge": F.lit(edge[0]).cast("int"), "_need": F.lit(edge[1]).cast("bigint")})

@@ -6,7 +6,6 @@ them is shown as a finite value and a kind. Computed doubles are rounded.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +21,7 @@ from flowlab.schemas import (
     FEATURES, LONG_LADDER, OPTIONAL_FEATURE, RAW_LABEL, SAMPLE_RAW, SOURCE, TARGET,
 )
 from flowlab.sources import tables
-from flowlab.sources.staging import shared_folder, stage
+from flowlab.sources.staging import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,10 +77,6 @@ def finite_gold(spark: SparkSession, folder: str) -> DataFrame:
     return clean.drop_incomplete(clean.inf_to_null(table), FEATURES)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _sample_text(df: DataFrame) -> DataFrame:
     """Engines print fractions of a second differently, so the text is cut at the second."""
     return df.withColumn("timestamp", F.substring("timestamp", 1, 19))
@@ -92,14 +87,14 @@ def _sample_text(df: DataFrame) -> DataFrame:
 
 @query
 def csv_scan(spark, folder):
-    path = _folder(spark, "csv")
+    path = new_folder(spark, "csv")
     tables.write_csv(view(spark, folder, "sample_flows"), path)
     return _sample_text(tables.read_csv(spark, path, SAMPLE_RAW))
 
 
 @query
 def bronze_csv_to_parquet(spark, folder):
-    raw, bronze = _folder(spark, "csv"), _folder(spark, "bronze")
+    raw, bronze = new_folder(spark, "csv"), new_folder(spark, "bronze")
     tables.write_csv(view(spark, folder, "sample_flows"), raw)
     tables.write_table(tables.read_csv(spark, raw, SAMPLE_RAW), bronze)
     return _sample_text(tables.read_table(spark, bronze))
@@ -107,7 +102,7 @@ def bronze_csv_to_parquet(spark, folder):
 
 @query
 def bronze_ingest(spark, folder):
-    bronze = tables.ingest(spark, folder, _folder(spark, "bronze"), "lineitem*.parquet")
+    bronze = tables.ingest(spark, folder, new_folder(spark, "bronze"), "lineitem*.parquet")
     return bronze.groupBy(SOURCE).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("l_orderkey").alias("sum_orderkey")
     )
@@ -115,7 +110,7 @@ def bronze_ingest(spark, folder):
 
 @query
 def scan_by_source(spark, folder):
-    path = _folder(spark, "flows")
+    path = new_folder(spark, "flows")
     tables.write_table(view(spark, folder, "flows"), path)
     table = tables.read_table(spark, path)
     tables.require_sources(table, ["botnet"])
@@ -137,14 +132,14 @@ def _silver(spark, folder) -> DataFrame:
 
 @query
 def silver_write(spark, folder):
-    path = _folder(spark, "silver")
+    path = new_folder(spark, "silver")
     tables.write_table(_silver(spark, folder), path, shuffled=True)
     return shown(tables.read_table(spark, path))
 
 
 @query
 def gold_write(spark, folder):
-    path = _folder(spark, "gold")
+    path = new_folder(spark, "gold")
     tables.write_table(medallion.flows_to_gold(_silver(spark, folder)), path, shuffled=True)
     return shown(tables.read_table(spark, path))
 
@@ -157,7 +152,7 @@ def sample_gold(spark, folder):
 
 @query
 def result_sink(spark, folder):
-    path = _folder(spark, "results")
+    path = new_folder(spark, "results")
     runs = view(spark, folder, "run_metrics")
     tables.write_results(runs, path)
     return rounded(tables.read_results(spark, path, runs.schema))

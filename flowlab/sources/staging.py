@@ -6,43 +6,28 @@ re-run, and columns computed from the physical layout (such as a partition numbe
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
-
-_local_area: str | None = None
-
-# Rows a side may have to be sent to every executor: a few MB of narrow rows.
-BROADCAST_ROWS = 50_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only in a local session that sets none."""
-    global _local_area
+    """spark.checkpoint.dir, or a folder in the warehouse where that is unset: both are shared by
+    the driver and all executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_area is None:
-        _local_area = tempfile.mkdtemp(prefix="flowlab-")
-    return _local_area
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once, return a scan of what was written."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a side that is expected to be small: broadcast if it is, by row count, else a
-    plain join that AQE may split on skew."""
-    rows: list[Row] = right.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return left.join(right, on, how)
-    small = left.sparkSession.createDataFrame(rows, right.schema)
-    return left.join(F.broadcast(small), on, how)

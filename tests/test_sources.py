@@ -74,35 +74,18 @@ def test_results_round_trip(spark, tmp_path):
     assert sorted(tables.read_results(spark, str(tmp_path / "r"), df.schema).collect()) == sorted(df.collect())
 
 
-def session_without_folder(master: str):
-    class Session:
-        class sparkContext:
-            pass
-
-        class conf:
-            @staticmethod
-            def get(key, default):
-                return default
-
-    Session.sparkContext.master = master
-    return Session
-
-
 def test_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert staging.shared_folder(spark) == folder
     assert staging.stage(spark.range(5), "five").count() == 5
     assert any(name.startswith("five-") for name in os.listdir(folder))
-    local = staging.shared_folder(session_without_folder("local[2]"))
-    assert local != folder and local == staging.shared_folder(session_without_folder("local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging.shared_folder(session_without_folder("yarn"))
-
-
-def test_join_small_with_a_large_side(spark, monkeypatch):
-    left = spark.range(100).selectExpr("id", "id % 10 k")
-    right = spark.range(10).selectExpr("id k", "id * 2 v")
-    small = staging.join_small(left, right, ["k"])
-    monkeypatch.setattr(staging, "BROADCAST_ROWS", 3)
-    large = staging.join_small(left, right, ["k"])
-    assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_warehouse_where_no_folder_is_set():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "hdfs:///warehouse/" if key == "spark.sql.warehouse.dir" else default
+
+    assert staging.shared_folder(Session) == "hdfs:///warehouse/staged"
