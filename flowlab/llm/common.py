@@ -36,3 +36,9 @@ def numbered_copies(df: DataFrame, copies: str, number: str) -> DataFrame:
     last = F.least(F.col(copies), F.col("_from") + step) - 1
     rows = steps.repartition("_from", *keys).withColumn(number, F.explode(F.sequence("_from", last)))
     return rows.drop("_from", copies)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps the Arrow batches that go to Python small: texts can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import mixing, quality, sharding
+from flowlab.llm import mixing, quality, sharding, simhash
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op10_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@registered
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
