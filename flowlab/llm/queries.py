@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import mixing, quality, sharding, simhash
+from flowlab.llm import decontaminate, mixing, quality, sharding, simhash
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,9 @@ def op10_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@registered
+def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.found(documents, table(spark, folder, "benchmark"))
