@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import decontaminate, mixing, quality, sharding, simhash
+from flowlab.llm import decontaminate, mixing, quality, sharding, simhash, token_output
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,11 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.found(documents, table(spark, folder, "benchmark"))
+
+
+@registered
+def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return token_output.written_and_read(documents, public_tokenizers.path("word_bpe_49k.json"))
