@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from flowlab.llm.common import bounded_batches
 from flowlab.sources.staging import new_folder
@@ -39,7 +41,7 @@ from flowlab.sources.staging import new_folder
 END_ID = 1
 BUCKET_KEYS = 20_000
 GROUP = 4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CHUNK_CHARS = 4_000_000
 READ_BYTES = 8_000_000
 HEAD = "<u8"
@@ -56,35 +58,58 @@ def at_path(folder: str, *parts: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Encodes texts word by word. The tokenizer never joins across the six ASCII spaces, so the
-    ids of a text are those of its words; words met before are looked up. The lookup is emptied
-    when it is full, which bounds memory and changes no result."""
+    """Encodes texts word by word: the tokenizer never joins across the six ASCII spaces, nor a
+    letter with a full stop or comma that ends a word, and it ignores case. So the ids of a text
+    are those of its words, and words met before are looked up. The lookup is emptied when it is
+    full, which bounds memory and changes no result."""
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = array("H" if self.kind == "<u2" else "I"), array("q", [0])
+
+    def _plain(self, word: str) -> str | None:
+        """The word as the model sees it, if nothing is left to normalise or split: lower-case
+        Latin letters in composed form."""
+        if not (word.isalpha() and word.islower() and max(word) < "\u0250"):
+            return None
+        return word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+
+    def _learn(self, words: list[str]) -> None:
+        seen = list(map(self._plain, words))
+        other = [w for w, p in zip(words, seen) if p is None]
+        encoded = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        for w, p in zip(words, seen):
+            self.ids.extend(next(encoded).ids if p is None else [t.id for t in self.model.tokenize(p)])
+            self.known[w] = len(self.ends) - 1
+            self.ends.append(len(self.ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = e.ids
-        ids = [self.known[w] for w in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), self.kind, int(size.sum()))
-        start = np.cumsum(size) - size
-        code = coded.indices.to_numpy()
-        sizes = size[code]
-        ends = np.cumsum(sizes)
-        spot = np.repeat(start[code] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        out = flat[spot]
-        limits = np.concatenate(([0], ends))[np.asarray(split.offsets)]
+            self._forget()
+        plain = pa.array(texts, pa.large_string())
+        # Special tokens are told apart by case.
+        if not pc.any(pc.match_substring(plain, "<|")).as_py():
+            plain = pc.ascii_lower(plain)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"(\p{L})([.,])(\s|$)", r"\1 \2\3"))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in distinct if w not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        number = number[coded.indices.to_numpy()]
+        flat, ends = np.frombuffer(self.ids, self.kind), np.frombuffer(self.ends, np.int64)
+        sizes = ends[number + 1] - ends[number]
+        upto = np.cumsum(sizes)
+        out = flat[np.repeat(ends[number] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        del flat, ends  # else the lookup could not grow
+        limits = np.concatenate(([0], upto))[np.asarray(split.offsets)]
         return [out[a:b] for a, b in zip(limits[:-1], limits[1:])]
 
 
