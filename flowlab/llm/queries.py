@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlab.llm import decontaminate, mixing, quality, sharding, simhash, token_output
+from flowlab.llm import decontaminate, mixing, pii, quality, sharding, simhash, token_output, url_filter
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,16 @@ def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return token_output.written_and_read(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered
+def op3_association_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), bad)
+
+
+@registered
+def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.replaced(documents, secret="corpus key")
