@@ -39,6 +39,11 @@ def numbered_copies(df: DataFrame, copies: str, number: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps the Arrow batches that go to Python small: texts can be long."""
+    """Keeps the Arrow batches that go to Python small, as texts can be long, and lets Python workers
+    find this package where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, known])
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -59,21 +59,14 @@ def _before(c: str, by: Sequence[str], order: Sequence[str | Column]) -> Column:
     return F.coalesce(F.sum(c).over(w), F.lit(0))
 
 
-def mixed(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
-    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
-) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
-
-    `size` counts words; a null text has none. A null source is a source of its own. Repeated rows
-    are separate documents. A text without words is never short of its size and takes nothing.
-    Sources without words have target 0. An empty table gives an empty one. The draw depends on
-    keys, sizes and seed only, so reruns agree.
-    """
+def _ranked(df: DataFrame, key: str, text: str, source: str, seed: str, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """Per distinct (doc_id, source, text): its copies, their first rank within the source, the expected
+    copies of one row and the source's offset, both in units, and the source's size and target."""
     counted = df.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(text)).cast("bigint").alias("size")
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(text)).cast("bigint").alias("size"),
+        F.xxhash64(text).alias("text_hash"),
     )
-    merged = counted.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_copies"))
+    merged = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("_copies"))
     digest = number(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     merged = stage(merged.withColumns({"_digest": digest, "_class": size_class(F.col("size"))}), "mix-documents")
     merged = merged.withColumn("_slot", F.pmod("_digest", F.lit(SLOTS)).cast("int"))
@@ -99,17 +92,55 @@ def mixed(
     )
     blocks = blocks.join(classes, ["_source", "_class"]).join(aims, "_source")
     block = ["_source", "_class", "_slot"]
-    order = ["size", "_digest", F.col("doc_id")]
+    order = ["size", "_digest", "doc_id", "text_hash"]
     rows = merged.withColumn("_before", _before("_copies", block, order)).join(blocks, block)
-    rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "_copies", "_expected", "_offset",
-        (F.col("_classes_before") + F.col("_slots_before") + F.col("_before")).alias("_rank"),
+    rank = F.col("_classes_before") + F.col("_slots_before") + F.col("_before")
+    return rows.select(
+        "doc_id", "source", "text_hash", "size", "source_size", "target", "_copies", "_expected", "_offset", rank.alias("_rank")
     )
-    rows = numbered_copies(rows, "_copies", "_copy")
-    start = (F.col("_rank") + F.col("_copy")) * F.col("_expected") + F.col("_offset")
-    shift = UNIT.bit_length() - 1
-    copies = F.shiftright(start + F.col("_expected"), shift) - F.shiftright(start, shift)
+
+
+def _times(nth: str, prefix: str = "") -> Column:
+    """How often the nth of some equal rows is taken: whole numbers crossed by its span."""
+    rank, expected, offset = (F.col(f"{prefix}_{c}") for c in ("rank", "expected", "offset"))
+    start, shift = (rank + F.col(nth)) * expected + offset, UNIT.bit_length() - 1
+    return (F.shiftright(start + expected, shift) - F.shiftright(start, shift)).cast("bigint")
+
+
+def mixed(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
+) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+
+    `size` counts words; a null text has none. A null source is a source of its own. Repeated rows
+    are separate documents. A text without words takes nothing. Sources without words have
+    target 0. An empty table gives an empty one. The draw depends on keys, texts, sizes and seed
+    only, so reruns agree. Other columns of df do not matter.
+    """
+    rows = numbered_copies(_ranked(df, key, text, source, seed, weights, share, most), "_copies", "_copy")
+    copies = _times("_copy")
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
-        (copies * F.col("size")).cast("bigint").alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
+
+
+def mix(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
+) -> DataFrame:
+    """The rows of df as often as the mix takes them; all columns are kept. Defined as `mixed`."""
+    names = {"doc_id": "__mix_id", "source": "__mix_source", "text_hash": "__mix_hash"}
+    plan = _ranked(df, key, text, source, seed, weights, share, most)
+    plan = plan.select("doc_id", "source", "text_hash", "_expected", "_offset", "_rank").withColumnsRenamed(names)
+    plan = plan.withColumnsRenamed({c: f"_mix{c}" for c in ("_expected", "_offset", "_rank")})
+    own = {"__mix_own": F.xxhash64(text)}
+    same = (
+        F.col(key).eqNullSafe(F.col("__mix_id")) & F.col(source).eqNullSafe(F.col("__mix_source"))
+        & (F.col("__mix_own") == F.col("__mix_hash"))
     )
+    rows = df.withColumns(own).join(plan, same)
+    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_hash").orderBy(F.xxhash64(*df.columns))) - 1
+    times = _times("__mix_nth", "_mix").cast("int")
+    rows = rows.withColumn("__mix_nth", nth)
+    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(df.columns)

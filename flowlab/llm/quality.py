@@ -145,3 +145,11 @@ def judged(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
         "failed_rules": failed,
     })
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def kept(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of df that `judged` keeps, with their own columns only, whatever their names."""
+    own = df.select(F.col(text).alias("text"), F.struct(*df.columns).alias("__row"))
+    # A generator, not a filter: a filter would be pushed below the measures and repeat them.
+    row = F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")
+    return judged(own, "text", rules).select(row).select("__row.*")

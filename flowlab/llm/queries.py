@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import decontaminate, mixing, pii, quality, sharding, simhash, token_output, url_filter
+from flowlab.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, token_output, url_filter
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,18 @@ def op3_association_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return pii.replaced(documents, secret="corpus key")
+
+
+@registered
+def op7_prefix_tree_chat(spark: SparkSession, folder: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.formatted_and_read(rows.unionByName(more))
+
+
+@registered
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
