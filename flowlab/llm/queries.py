@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, token_output, url_filter
+from flowlab.llm import chat, decontaminate, html_extract, mixing, pii, quality, sharding, simhash, token_output, url_filter
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@registered
+def op1_boosted_dom_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(table(spark, folder, "pages"))
