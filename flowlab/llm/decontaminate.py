@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlab.llm.common import bounded_batches
 
@@ -197,13 +198,13 @@ def hits(texts: list[str | None], passages: Passages) -> dict[tuple[int, int], t
     return best
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[Passages]:
-    """The benchmark in blocks of about `chars` characters, dealt by a hash of the text: equal texts
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Passages]:
+    """The benchmark in blocks of about BLOCK_CHARS characters, dealt by a hash of the text: equal texts
     come together and count as the one of the smallest id."""
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
     items = items.groupBy("text").agg(F.min("item").alias("item"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // chars)
+    n = -(-total // BLOCK_CHARS)
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block)
         yield Passages([(r["item"], r["text"]) for r in part.collect()])
@@ -225,15 +226,16 @@ def found(
     narrow = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kinds = narrow.schema["doc_id"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, item_chars int, end bigint"
+    item_kind = to_arrow_type(benchmark.schema[item].dataType)
     out = df.sparkSession.createDataFrame([], schema)
     for passages in blocks(benchmark, item, item_text):
         sent = df.sparkSession.sparkContext.broadcast(passages)
-        out = out.unionByName(narrow.mapInArrow(lambda b, sent=sent: _rows(b, sent.value), schema))
+        out = out.unionByName(narrow.mapInArrow(lambda b, sent=sent: _rows(b, sent.value, item_kind), schema))
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], passages: Passages) -> Iterator[pa.RecordBatch]:
-    item = pa.array(passages.item)
+def _rows(batches: Iterator[pa.RecordBatch], passages: Passages, item_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    item = pa.array(passages.item, item_kind)
     for b in batches:
         best = hits(b.column("text").to_pylist(), passages)
         text, who = pa.array([t for t, _ in best], pa.int64()), pa.array([w for _, w in best], pa.int64())
