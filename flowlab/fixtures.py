@@ -55,21 +55,22 @@ FROM (SELECT k1, k2, k3, k4,
 def _runs(condition: str, where: str) -> str:
     return f"""
 SELECT '{condition}' AS condition,
-       CASE l_returnflag WHEN 'A' THEN 'Logistic Regression' ELSE 'Random Forest' END AS algorithm,
-       CASE l_linenumber WHEN 1 THEN '10%' WHEN 2 THEN '25%' WHEN 3 THEN '50%' WHEN 4 THEN '75%' ELSE '100%' END AS dataset_size,
-       CASE l_linenumber WHEN 1 THEN 0.1e0 WHEN 2 THEN 0.25e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 0.75e0 ELSE 1e0 END AS fraction,
-       count(*) * l_linenumber AS n_rows, CAST(floor(count(*) * l_linenumber * 0.8e0) AS BIGINT) AS train_rows,
-       count(*) * l_linenumber - CAST(floor(count(*) * l_linenumber * 0.8e0) AS BIGINT) AS test_rows,
+       algorithm,
+       CASE rung WHEN 1 THEN '10%' WHEN 2 THEN '25%' WHEN 3 THEN '50%' WHEN 4 THEN '75%' ELSE '100%' END AS dataset_size,
+       CASE rung WHEN 1 THEN 0.1e0 WHEN 2 THEN 0.25e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 0.75e0 ELSE 1e0 END AS fraction,
+       count(*) * rung AS n_rows, CAST(floor(count(*) * rung * 0.8e0) AS BIGINT) AS train_rows,
+       count(*) * rung - CAST(floor(count(*) * rung * 0.8e0) AS BIGINT) AS test_rows,
        sum(l_quantity) / 1000 AS training_time_sec, sum(l_tax) / 10 AS prediction_time_sec,
        sum(l_quantity) / 1000 + sum(l_tax) / 10 AS total_ml_time_sec,
        1 - avg(l_tax) AS accuracy, avg(l_quantity) / 50 AS precision_weighted, 1 - avg(l_discount) AS recall_weighted,
        avg(l_discount) * 10 AS f1, avg(l_tax) * 10 AS roc_auc
-FROM {{lineitem}} WHERE l_linenumber <= 5 AND l_returnflag IN ('A', 'R') {where}
-GROUP BY l_returnflag, l_linenumber
+FROM (SELECT *, (l_linenumber - 1) % 5 + 1 AS rung, CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_orderkey % 2 = 0) THEN 'Logistic Regression' ELSE 'Random Forest' END AS algorithm
+      FROM {{lineitem}}) t {where}
+GROUP BY algorithm, rung
 """
 
 
-RUN_METRICS = _runs("Original", "") + "UNION ALL" + _runs("Deduplicated", "AND l_partkey % 5 <> 0")
+RUN_METRICS = _runs("Original", "") + "UNION ALL" + _runs("Deduplicated", "WHERE l_partkey % 5 <> 0")
 
 ABLATION_METRICS = """
 SELECT CASE l_linenumber WHEN 1 THEN 'Full Model' ELSE concat('Without feature_', CAST(l_linenumber AS STRING)) END AS experiment,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKETS = 10_000
+# Fractions are cut from 60-bit digests: fine enough for any table.
+DIGITS = 15
+BUCKETS = 1 << 4 * DIGITS
 SLOTS = 65_536
 
 
@@ -20,6 +22,11 @@ def leading_bits(digest: Column, hex_digits: int = 8) -> Column:
     return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("bigint")
 
 
-def bucket(keys: list[str], seed: str = "", buckets: int = BUCKETS) -> Column:
-    """Even bucket number 0 .. buckets - 1."""
-    return leading_bits(row_digest(keys, seed)) % buckets
+def bucket(keys: list[str], seed: str = "") -> Column:
+    """Even number 0 .. BUCKETS - 1 of a row."""
+    return leading_bits(row_digest(keys, seed), DIGITS)
+
+
+def edge(fraction: float) -> int:
+    """Rows whose bucket lies below are that fraction of all."""
+    return round(fraction * BUCKETS)

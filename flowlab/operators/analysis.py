@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlab.functions.cleaning import finite
@@ -127,29 +128,21 @@ def correlation(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Pearson r of every pair i < j on the rows complete in all features: (feature_1, feature_2,
     correlation). A constant feature has no correlation (null).
 
-    Two passes that shuffle one row per task: the means, then the centred sums of products,
-    which stay exact where sums of raw squares would cancel.
+    One pass that merges central moments and shuffles one row per task.
     """
-    rows = clean.drop_incomplete(clean.inf_to_null(df.select(*features), features))
-    means = rows.agg(*(F.avg(f).alias(f) for f in features)).first()
-    centred = rows.select(*((F.col(f) - F.lit(means[f])).alias(f) for f in features))
-    names = {f: f"_{i}" for i, f in enumerate(features)}
-    pairs = list(combinations(features, 2))
-    sums = centred.agg(
-        *(F.sum(F.col(a) * F.col(b)).alias(names[a] + names[b]) for a, b in pairs),
-        *(F.sum(F.col(f) * F.col(f)).alias(names[f]) for f in features),
-    )
+    rows = clean.drop_incomplete(clean.inf_to_null(df.select(*features), features), features)
+    r = {(a, b): F.covar_samp(a, b) for a, b in combinations(features, 2)}
+    spread = {f: F.stddev_samp(f) for f in features}
+    # Rounding of the mean leaves a constant a deviation of about 1e-16 of its value.
+    varies = {f: F.min(f) < F.max(f) for f in features}
     entries = [
         F.struct(
-            F.lit(a).alias("feature_1"),
-            F.lit(b).alias("feature_2"),
-            F.try_divide(
-                F.col(names[a] + names[b]), F.sqrt(F.col(names[a])) * F.sqrt(F.col(names[b]))
-            ).alias("correlation"),
+            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
+            F.when(varies[a] & varies[b], F.try_divide(c, spread[a] * spread[b])).alias("correlation"),
         )
-        for a, b in pairs
+        for (a, b), c in r.items()
     ]
-    return sums.select(F.inline(F.array(*entries)))
+    return rows.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))
 
 
 def correlation_matrix(pairs: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -167,8 +160,15 @@ def correlation_matrix(pairs: DataFrame, features: Sequence[str] = FEATURES) ->
 
 
 def high_correlations(pairs: DataFrame, threshold: float = HIGH_CORRELATION) -> DataFrame:
+    """Pairs of at least the threshold, strongest first, with their number and a flag for the
+    strongest. One row per pair of features passes through the window."""
     strong = pairs.where(F.abs("correlation") >= threshold)
-    return strong.orderBy(F.desc(F.abs("correlation")), "feature_1", "feature_2")
+    order = [F.desc(F.abs("correlation")), "feature_1", "feature_2"]
+    whole = W.partitionBy(F.lit(0))
+    strong = strong.withColumns({
+        "n_pairs": F.count(F.lit(1)).over(whole), "is_strongest": F.row_number().over(whole.orderBy(*order)) == 1,
+    })
+    return strong.orderBy(*order)
 
 
 def ablation_impact(metrics: DataFrame, full: str = "Full Model") -> DataFrame:

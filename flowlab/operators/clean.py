@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from flowlab.functions import cleaning as rule
 from flowlab.schemas import FEATURES, RAW_LABEL, SAMPLE_NUMERIC, SAMPLE_TEXT, TARGET
 
-PROBE_ROWS = 1000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,15 +59,12 @@ def is_floating(df: DataFrame, column: str) -> bool:
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns without a single value (NaN is not a value).
 
-    A few rows clear almost every column; only the suspects are then read in full.
+    One aggregate over all rows that shuffles one row per task.
     """
-    flags = df.select([_filled(df, c).alias(c) for c in df.columns])
-    head = flags.limit(PROBE_ROWS).collect()
-    suspects = [c for i, c in enumerate(df.columns) if not any(r[i] for r in head)]
-    if not suspects:
+    if not df.columns:
         return []
-    found = df.agg(*(F.max(_filled(df, c)).alias(c) for c in suspects)).first()
-    return [c for i, c in enumerate(suspects) if not found[i]]
+    found = df.agg(*(F.max(_filled(df, c)).alias(c) for c in df.columns)).first()
+    return [c for i, c in enumerate(df.columns) if not found[i]]
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

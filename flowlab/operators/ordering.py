@@ -19,8 +19,8 @@ from flowlab.sources.staging import stage
 SLICE = "_slice"
 COPIES = "_copies"
 COPIES_PER_STEP = 10_000
-# Rows that may be put in order by one task.
-ONE_TASK_ROWS = 100_000
+# The class of a row as text; null is a class.
+CLASS = "_class"
 CUT_MARGIN = 0.001
 SKETCH_ACCURACY = 10_000
 
@@ -82,10 +82,18 @@ def _total_order(df: DataFrame, order: list[str], by: list[str]) -> list[str]:
 def _placed(df: DataFrame, order: list[str], by: list[str]) -> tuple[DataFrame, bool]:
     """Distinct rows with their copies and the rows before them; and whether any has so many
     copies that they must be written out in steps."""
-    total = _total_order(df, order, by)
-    sliced = _sliced(counted(df), by + total)
+    # Grouping makes -0.0 a 0.0; marks keep them apart and bring the original back.
+    floats = [c for c in df.columns if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    marks = {f"_minus_{i}": F.col(c).cast("string").eqNullSafe("-0.0") for i, c in enumerate(floats)}
+    original = {
+        c: F.when(F.col(m), F.lit(-0.0).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, m in zip(floats, marks)
+    }
+    merged = counted(df.withColumns(marks)) if marks else counted(df)
+    total = _total_order(df, order, by) + list(marks)
+    sliced = _sliced(merged, by + total)
     hot = not sliced.where(F.col(COPIES) > COPIES_PER_STEP).isEmpty()
-    return _within(sliced, by, total, [COPIES]), hot
+    placed = _within(sliced, by, total, [COPIES])
+    return (placed.withColumns(original).drop(*marks) if marks else placed), hot
 
 
 def global_index(
@@ -97,14 +105,9 @@ def global_index(
     return rows.withColumn(index, F.col(f"{COPIES}_before") + F.col("_copy")).drop(f"{COPIES}_before", "_copy")
 
 
-def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str, size: int) -> DataFrame:
-    """Flags the first `need` rows of each group. `size` is the known number of rows: few are put
-    in order by a plain window, many by slices, where copies that straddle the cut are shared
-    out."""
+def _first_rows(df: DataFrame, order: list[str], by: list[str], need: Column, flag: str) -> DataFrame:
+    """Flags the first `need` rows of each group; copies that straddle the cut are shared out."""
     out = [*df.columns, flag]
-    if size <= ONE_TASK_ROWS:
-        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*_total_order(df, order, by))
-        return df.withColumn(flag, F.row_number().over(w) <= need).select(out)
     placed, hot = _placed(df, order, by)
     inside = F.greatest(F.lit(0), F.least(F.col(COPIES), need - F.col(f"{COPIES}_before")))
     sides = F.array(
@@ -147,20 +150,20 @@ def hash_cut(
 ) -> DataFrame:
     """Marks exactly `quota` rows per group: those with the smallest key digests.
 
-    `quota` maps a table (group, n) to (group, quota). A histogram over 65,536 digest slots finds
+    `quota` maps a table (CLASS, n) to (CLASS, quota); null is a class of its own. A histogram over 65,536 digest slots finds
     the slot in which each quota falls; rows in other slots are decided by a comparison in the
     scan, and only the rows of that one slot are put in order. Keys must identify a row.
     """
     columns = df.columns
-    group = by or "_group"
+    group = CLASS
+    label = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
     digest = row_digest(keys, seed)
     marked = df.withColumns({
         "_digest": digest,
         "_slot": F.shiftright(leading_bits(digest), 16).cast("int"),
-        **({} if by else {group: F.lit(0)}),
+        group: label,
     })
-    classed = marked.where(F.col(group).isNotNull())
-    slots = stage(classed.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("n")), "slots")
+    slots = stage(marked.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("n")), "slots")
     wanted = quota(slots.groupBy(group).agg(F.sum("n").alias("n"))).select(group, "quota")
     # At most SLOTS rows per group pass through this window.
     edges = (
@@ -169,9 +172,7 @@ def hash_cut(
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("n")))
         .select(group, F.col("_slot").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_need"), "n")
     )
-    edges = stage(edges, "edges")
-    size = edges.agg(F.sum("n")).first()[0] or 0
-    edges = edges.drop("n")
+    edges = stage(edges.drop("n"), "edges")
     # No edge: the quota is 0 (or less), nothing is drawn.
     if by:
         placed = marked.join(edges, [group], "left")
@@ -181,7 +182,7 @@ def hash_cut(
     sure = placed.where(F.coalesce(F.col("_slot") != F.col("_edge"), F.lit(True)))
     sure = sure.withColumn(flag, F.coalesce(F.col("_slot") < F.col("_edge"), F.lit(False)))
     close = placed.where(F.col("_slot") == F.col("_edge"))
-    close = _first_rows(close, ["_digest", *keys], [group], F.col("_need"), flag, size)
+    close = _first_rows(close, ["_digest", *keys], [group], F.col("_need"), flag)
     out = [*columns, flag]
     return sure.select(out).unionByName(close.select(out))
 
@@ -197,16 +198,16 @@ def order_cut(df: DataFrame, order: list[str], k: int, n: int, flag: str = "in_h
     lead = F.col(order[0])
     bracket = _bracket(df, order[0], k, n)
     if bracket is None:
-        return _first_rows(df, order, [], F.lit(k), flag, n)
-    low, high, below, size = bracket
+        return _first_rows(df, order, [], F.lit(k), flag)
+    low, high, below = bracket
     # Nulls sort first.
     sure = df.where(lead.isNull() | (lead < low) | (lead > high))
     sure = sure.withColumn(flag, lead.isNull() | (lead < low))
-    close = _first_rows(df.where((lead >= low) & (lead <= high)), order, [], F.lit(k - below), flag, size)
+    close = _first_rows(df.where((lead >= low) & (lead <= high)), order, [], F.lit(k - below), flag)
     return sure.select(out).unionByName(close.select(out))
 
 
-def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column, int, int] | None:
+def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column, int] | None:
     kind = df.schema[lead].dataType
     exact = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
     if not isinstance(kind, exact) or not 0 < k < n:
@@ -221,4 +222,4 @@ def _bracket(df: DataFrame, lead: str, k: int, n: int) -> tuple[Column, Column,
     below, upto = df.agg(
         F.count_if(c.isNull() | (c < low)), F.count_if(c.isNull() | (c <= high))
     ).first()
-    return (low, high, below, upto - below) if below <= k <= upto else None
+    return (low, high, below) if below <= k <= upto else None

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlab.functions.hashing import BUCKETS, bucket, leading_bits
+from flowlab.functions.hashing import bucket, edge, leading_bits
 from flowlab.operators.dedup import except_distinct
-from flowlab.operators.ordering import global_index, hash_cut, order_cut
+from flowlab.operators.ordering import CLASS, global_index, hash_cut, order_cut
 from flowlab.schemas import TARGET
 from flowlab.sources.tables import scan_source
 
@@ -31,16 +31,16 @@ def hash_sample(df: DataFrame, fraction: float, keys: list[str], seed: str = "sa
     """About `fraction` of the rows; samples of one seed are nested. 1.0 returns the input."""
     if fraction >= 1.0:
         return df
-    return df.where(bucket(keys, seed) < round(fraction * BUCKETS))
+    return df.where(bucket(keys, seed) < edge(fraction))
 
 
 def hash_split(df: DataFrame, keys: list[str], train: float = 0.8, seed: str = "split") -> Split:
     """About 80 / 20; exact copies fall on the same side."""
-    b, edge = bucket(keys, seed), round(train * BUCKETS)
-    return df.where(b < edge), df.where(b >= edge)
+    b, cut = bucket(keys, seed), edge(train)
+    return df.where(b < cut), df.where(b >= cut)
 
 
-def largest_remainder(size: Callable[[str], str], group: str) -> Callable[[DataFrame], DataFrame]:
+def largest_remainder(size: Callable[[str], str], group: str = CLASS) -> Callable[[DataFrame], DataFrame]:
     """Quotas that add up to `size` and follow the class shares: the floor of each share, then
     one more for the largest remainders. `size` writes the total as SQL over the row count."""
 
@@ -65,8 +65,9 @@ def largest_remainder(size: Callable[[str], str], group: str) -> Callable[[DataF
 
 
 def stratified_sample(df: DataFrame, n: int, keys: list[str], label: str = TARGET, seed: str = "") -> DataFrame:
-    """Exactly n rows with the class shares kept; the whole table if it has no more than n."""
-    drawn = hash_cut(df, keys, largest_remainder(lambda _: str(int(n)), label), by=label, seed=seed)
+    """Exactly n rows with the class shares kept, null being a class; the whole table if it has no
+    more than n."""
+    drawn = hash_cut(df, keys, largest_remainder(lambda _: str(int(n))), by=label, seed=seed)
     return drawn.where("in_draw").drop("in_draw")
 
 
@@ -96,7 +97,7 @@ def mark_stratified(
     df: DataFrame, keys: list[str], test: float = 0.2, label: str = TARGET, seed: str = ""
 ) -> DataFrame:
     """As mark_exact, with the class shares kept on both sides."""
-    quota = largest_remainder(lambda n: f"{n} - ceil({n} * cast({float(test)} as double))", label)
+    quota = largest_remainder(lambda n: f"{n} - ceil({n} * cast({float(test)} as double))")
     return hash_cut(df, keys, quota, by=label, seed=seed, flag="in_train")
 
 

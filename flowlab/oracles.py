@@ -59,7 +59,11 @@ FROM moments n JOIN moments a ON n.feature = a.feature AND n.is_attack = 0 AND a
 
 def bucket(seed: str, text: str = KEY_TEXT) -> str:
     body = text.format(seed=f"'{seed}', " if seed else "")
-    return f"CAST('0x' || substr(md5({body}), 1, 8) AS BIGINT) % 10000"
+    return f"CAST('0x' || substr(md5({body}), 1, 15) AS BIGINT)"
+
+
+def edge(fraction: float) -> int:
+    return round(fraction * 16**15)
 
 
 DIGEST = f"md5({KEY_TEXT.format(seed='')})"
@@ -71,7 +75,7 @@ quotas AS (SELECT is_attack, base + CASE WHEN row_number() OVER (ORDER BY rest D
 placed AS (SELECT g.*, row_number() OVER (PARTITION BY g.is_attack ORDER BY {digest}, k1, k2, k3, k4) <= quota AS picked FROM gold g JOIN quotas q ON g.is_attack = q.is_attack)"""
 ORDERED = GOLD + """, placed AS (SELECT *, row_number() OVER (ORDER BY flow_ts, k1, k2, k3, k4, Fwd_Packets_Length_Total) AS place, count(*) OVER () AS total FROM gold)"""
 
-FINITE_GOLD = GOLD + f", finite AS (SELECT *, {bucket('split')} < 8000 AS in_train FROM gold WHERE isfinite({ODD}))"
+FINITE_GOLD = GOLD + f", finite AS (SELECT *, {bucket('split')} < {edge(0.8)} AS in_train FROM gold WHERE isfinite({ODD}))"
 
 
 def _scaled(centre: bool, deviation: str) -> str:
@@ -111,8 +115,8 @@ def _weighted(score: str) -> str:
 
 def _rungs(source: str, fractions, sample: str, side: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT CAST({f} AS DOUBLE) AS fraction, count(*) AS n_rows, count(*) FILTER ({side} < 8000) AS train_rows, "
-        f"count(*) FILTER ({side} >= 8000) AS test_rows FROM {source} WHERE {sample} < {round(f * 10000)}"
+        f"SELECT CAST({f} AS DOUBLE) AS fraction, count(*) AS n_rows, count(*) FILTER ({side} < {edge(0.8)}) AS train_rows, "
+        f"count(*) FILTER ({side} >= {edge(0.8)}) AS test_rows FROM {source} WHERE {sample} < {edge(f)}"
         for f in fractions
     )
 
@@ -132,7 +136,7 @@ FLOW_COLUMNS = f"{', '.join([*BASE_COLUMNS, 'Empty_Column', 'Label'])}, {DAY}, {
 GOLD_ROW = f"{KEY_LIST}, source_file, {', '.join(OTHERS)}, Average_Packet_Size, is_attack, {DAY}"
 SIDES = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", "Label"]
 SIDE_LIST = ", ".join(SIDES)
-HEAD_COLUMNS = "Protocol, Total_Fwd_Packets, Packet_Length_Mean, Packet_Length_Std, is_attack"
+HEAD_COLUMNS = ", ".join(FEATURES) + ", is_attack"
 RUN = "condition, algorithm, dataset_size"
 SIZE_ORDER = "CAST(list_position(['10%', '25%', '50%', '75%', '100%'], dataset_size) AS BIGINT)"
 RULES = {
@@ -238,22 +242,22 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
         f"SELECT '{a}' AS feature, " + ", ".join(f"round({_correlation(a, b)}, 6) AS {b}" for b in FEATURES) + " FROM complete"
         for a in FEATURES
     ),
-    "high_correlation_pairs": f"{PAIRS} SELECT feature_1, feature_2, round(correlation, 6) AS correlation FROM pairs WHERE abs(correlation) >= 0.7",
+    "high_correlation_pairs": f"{PAIRS} SELECT feature_1, feature_2, round(correlation, 6) AS correlation, count(*) OVER () AS n_pairs, row_number() OVER (ORDER BY abs(correlation) DESC, feature_1, feature_2) = 1 AS is_strongest FROM pairs WHERE correlation IS NOT NULL",
     "ablation_impact": f"{with_clause('ablation_metrics')} SELECT m.removed_feature, round(b.f1 - m.f1, 6) AS f1_drop, round(b.roc_auc - m.roc_auc, 6) AS roc_auc_drop FROM ablation_metrics m JOIN ablation_metrics b ON b.experiment = 'Full Model' AND m.experiment <> 'Full Model'",
-    "sample_fraction": f"{GOLD} SELECT {KEY_LIST}, is_attack FROM gold WHERE {bucket('sample')} < 2500",
+    "sample_fraction": f"{GOLD} SELECT {KEY_LIST}, is_attack FROM gold WHERE {bucket('sample')} < {edge(0.25)}",
     "stratified_sample_n": GOLD + STRATA.format(size="least(5000, total)", digest=DIGEST) + f" SELECT {KEY_LIST}, is_attack FROM placed WHERE picked",
     "sample_with_replacement": f"{GOLD}, indexed AS (SELECT *, row_number() OVER (ORDER BY {KEY_LIST}, Fwd_Packets_Length_Total) - 1 AS row_index FROM gold), draws AS (SELECT i AS draw, CAST('0x' || substr(md5('draw|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT count(*) FROM gold) AS row_index FROM range(500) r(i)) SELECT {KEY_LIST}, is_attack, draw FROM indexed JOIN draws USING (row_index)",
-    "split_random": f"{GOLD} SELECT {KEY_LIST}, is_attack, {bucket('split')} < 8000 AS in_train FROM gold",
+    "split_random": f"{GOLD} SELECT {KEY_LIST}, is_attack, {bucket('split')} < {edge(0.8)} AS in_train FROM gold",
     "split_exact": f"{GOLD} SELECT {KEY_LIST}, is_attack, row_number() OVER (ORDER BY {DIGEST}, {KEY_LIST}) <= count(*) OVER () - ceil(count(*) OVER () * 0.2e0) AS in_train FROM gold",
     "split_stratified": GOLD + STRATA.format(size="total - ceil(total::DOUBLE * 0.2e0)::HUGEINT", digest=DIGEST) + f" SELECT {KEY_LIST}, is_attack, picked AS in_train FROM placed",
     "split_ordered": f"{ORDERED} SELECT {KEY_LIST}, is_attack, place <= floor(total * 0.8e0) AS in_train FROM placed",
-    "split_head_except": f"{ORDERED}, head AS (SELECT {HEAD_COLUMNS} FROM placed WHERE place <= floor(total * 0.06e0)) SELECT *, true AS in_train FROM head UNION ALL SELECT *, false FROM (SELECT {HEAD_COLUMNS} FROM placed EXCEPT SELECT * FROM head)",
+    "split_head_except": f"{ORDERED}, head AS (SELECT {HEAD_COLUMNS} FROM placed WHERE place <= floor(total * 0.06e0)) SELECT {', '.join(OTHERS)}, is_attack, {odd()}, in_train FROM (SELECT *, true AS in_train FROM head UNION ALL SELECT *, false FROM (SELECT {HEAD_COLUMNS} FROM placed EXCEPT SELECT * FROM head))",
     "split_by_source": f"{GOLD} SELECT source_file = 'botnet' AS in_train, source_file, is_attack, count(*) AS n_rows, CAST(sum(Flow_Duration) AS BIGINT) AS sum_duration FROM gold GROUP BY source_file, is_attack",
     "assemble_features": f"{GOLD} SELECT {KEY_LIST}, {DOUBLES}, {odd()} FROM gold WHERE NOT ({MISSING[ODD]})",
     "scale_std": _scaled(False, "stddev_samp"),
     "scale_zscore": _scaled(True, "stddev_samp"),
     "scale_zscore_pop": _scaled(True, "stddev_pop"),
-    "class_weights": f"{GOLD} SELECT is_attack, count(*) AS n_rows, round(sum(count(*)) OVER () / (2e0 * count(*)), 6) AS class_weight FROM gold WHERE source_file = 'botnet' GROUP BY is_attack",
+    "class_weights": f"{GOLD} SELECT is_attack, count(*) AS n_rows, round(sum(count(*)) OVER () / (2e0 * count(*)), 6) AS class_weight FROM gold GROUP BY is_attack",
     "confusion_matrix": f"{CELLS} SELECT * FROM cells",
     "confusion_table": f"{SCORED} SELECT label, prediction, count(*) AS n_rows FROM scored GROUP BY label, prediction",
     "classification_metrics": _weighted(
@@ -264,7 +268,7 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "roc_auc": f"{BY_SCORE} SELECT round(sum(n1 * (below + n0 / 2)) / (sum(n1) * sum(n0)), 6) AS roc_auc FROM (SELECT *, sum(n0) OVER (ORDER BY score) - n0 AS below FROM by_score)",
     "pr_auc": f"{BY_SCORE}, points AS (SELECT score, sum(n1) OVER w / sum(n1) OVER () AS r, sum(n1) OVER w / sum(n0 + n1) OVER w AS p FROM by_score WINDOW w AS (ORDER BY score DESC)), steps AS (SELECT r - coalesce(lag(r) OVER (ORDER BY score DESC), 0) AS dr, p + coalesce(lag(p) OVER (ORDER BY score DESC), p) AS pp FROM points) SELECT round(sum(dr * pp / 2), 6) AS pr_auc FROM steps",
     "generalization_verdict": f"{CELLS} SELECT *, round(tp::DOUBLE / (tp + fn), 6) AS recall_attack, CASE WHEN tp = 0 THEN 'none' WHEN tp::DOUBLE / (tp + fn) < 0.5 THEN 'limited' ELSE 'present' END AS generalization FROM cells",
-    "ladder_counts": f"{FLOWS} {_rungs('flows', LONG_LADDER, bucket('sample'), bucket('split'))}",
+    "ladder_counts": f"{GOLD} {_rungs('gold', LONG_LADDER, bucket('sample'), bucket('split'))}",
     "robust_ladder_counts": f"{FLOWS}, t AS (SELECT DISTINCT {', '.join(OTHERS)}, {TARGET} FROM flows) {_rungs('t', LADDER, bucket('sample', ROBUST_KEYS), bucket('split', ROBUST_KEYS))}",
     "time_per_row": f"{RUNS} SELECT {RUN}, round(training_time_sec / n_rows, 9) AS time_per_row FROM run_metrics",
     "scalability_growth": f"{RUNS} SELECT {RUN}, round(training_time_sec / first(training_time_sec) OVER w, 4) AS training_time_growth, round(prediction_time_sec / first(prediction_time_sec) OVER w, 4) AS prediction_time_growth, round(train_rows / training_time_sec, 4) AS rows_per_second_training, round(test_rows / prediction_time_sec, 4) AS rows_per_second_prediction FROM run_metrics WINDOW w AS (PARTITION BY condition, algorithm ORDER BY fraction)",

@@ -18,14 +18,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.hashing import BUCKETS, bucket
+from flowlab.functions.hashing import bucket, edge
 from flowlab.operators import clean, dedup, evaluate, models, split
 from flowlab.operators.features import add_class_weights, assemble
 from flowlab.schemas import FEATURES, LADDER, METRICS, TARGET
 from flowlab.sources.staging import stage
 
 MIN_ROWS = 100
-TRAIN_EDGE = 8_000
+TRAIN_EDGE = edge(0.8)
 HEAD = 0.06
 
 MakeModel = Callable[[int], Pipeline]
@@ -160,7 +160,7 @@ def rung_counts(table: DataFrame, keys: list[str], fractions: Sequence[float] =
     marked = table.select(sample.alias("s"), (side < TRAIN_EDGE).alias("t"))
     aggregates = []
     for i, f in enumerate(fractions):
-        taken = F.col("s") < round(f * BUCKETS)
+        taken = F.col("s") < edge(f)
         aggregates += [F.count_if(taken).alias(f"n{i}"), F.count_if(taken & F.col("t")).alias(f"t{i}")]
     row = marked.agg(*aggregates)
     return row.select(F.inline(F.array(*(
@@ -189,7 +189,7 @@ def ladder(
         preparation = perf_counter() - start
         start = perf_counter()
         counts = marked.agg(*(
-            F.count_if((F.col("_sample") < round(f * BUCKETS)) & side).alias(f"{name}{i}")
+            F.count_if((F.col("_sample") < edge(f)) & side).alias(f"{name}{i}")
             for i, f in enumerate(fractions)
             for name, side in (("train", F.col("_side") < TRAIN_EDGE), ("test", F.col("_side") >= TRAIN_EDGE))
         )).first()
@@ -198,7 +198,7 @@ def ladder(
             train_rows, test_rows = counts[f"train{i}"], counts[f"test{i}"]
             if train_rows + test_rows < MIN_ROWS:
                 continue
-            train, test = _sides(marked.where(F.col("_sample") < round(f * BUCKETS)))
+            train, test = _sides(marked.where(F.col("_sample") < edge(f)))
             rows.append(run(
                 train, test, make(train_rows), train_rows, dataset_size=f"{f:.0%}", fraction=float(f),
                 preparation_time_sec=preparation, selection_time_sec=selection, **labels,

@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["k1", "k2", "k3", "k4"]
 ORDER = ["flow_ts", *KEYS, "Fwd_Packets_Length_Total"]
 ODD = "Flow_Bytes_per_s"
+# The columns of the summary.
 DESCRIBED = ["Protocol", "Flow_Duration", "Total_Fwd_Packets", "Total_Backward_Packets", TARGET]
 SMALL_SIDE = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", RAW_LABEL]
 DRAWS = 500
@@ -364,7 +365,7 @@ def constraint_report(spark, folder):
 
 @query
 def class_stats(spark, folder):
-    table = analysis.separability(stage(gold(spark, folder), "gold"))
+    table = analysis.separability(stage(gold(spark, folder).select(*FEATURES, TARGET), "gold"))
     return rounded(table.drop("auc", "separability_auc", "effect_size", "effect_band"), 4)
 
 
@@ -382,18 +383,19 @@ def feature_auc(spark, folder):
 
 @query
 def separability_ranking(spark, folder):
-    table = analysis.separability_ranking(analysis.separability(stage(gold(spark, folder), "gold")))
+    table = analysis.separability_ranking(analysis.separability(stage(gold(spark, folder).select(*FEATURES, TARGET), "gold")))
     return rounded(table.select("feature", "separability_auc", "effect_size", "effect_band"))
 
 
 @query
 def correlation_matrix(spark, folder):
-    return rounded(analysis.correlation_matrix(analysis.correlation(stage(gold(spark, folder), "gold"))))
+    return rounded(analysis.correlation_matrix(analysis.correlation(gold(spark, folder))))
 
 
 @query
 def high_correlation_pairs(spark, folder):
-    return rounded(analysis.high_correlations(analysis.correlation(stage(gold(spark, folder), "gold"))))
+    # No pair of these tables is strong: all pairs are listed.
+    return rounded(analysis.high_correlations(analysis.correlation(gold(spark, folder)), threshold=0.0))
 
 
 @query
@@ -415,7 +417,7 @@ def sample_fraction(spark, folder):
 
 @query
 def stratified_sample_n(spark, folder):
-    return _drawn(split.stratified_sample(stage(gold(spark, folder), "gold"), 5000, KEYS))
+    return _drawn(split.stratified_sample(stage(gold(spark, folder).select(*KEYS, TARGET), "gold"), 5000, KEYS))
 
 
 @query
@@ -433,12 +435,12 @@ def split_random(spark, folder):
 
 @query
 def split_exact(spark, folder):
-    return _drawn(split.mark_exact(stage(gold(spark, folder), "gold"), KEYS), "in_train")
+    return _drawn(split.mark_exact(stage(gold(spark, folder).select(*KEYS, TARGET), "gold"), KEYS), "in_train")
 
 
 @query
 def split_stratified(spark, folder):
-    return _drawn(split.mark_stratified(stage(gold(spark, folder), "gold"), KEYS), "in_train")
+    return _drawn(split.mark_stratified(stage(gold(spark, folder).select(*KEYS, TARGET), "gold"), KEYS), "in_train")
 
 
 @query
@@ -448,9 +450,9 @@ def split_ordered(spark, folder):
 
 @query
 def split_head_except(spark, folder):
-    columns = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", TARGET]
+    columns = [*FEATURES, TARGET]
     head, rest = split.split_head_except(stage(gold(spark, folder), "gold"), ORDER, 0.06, columns)
-    return head.withColumn("in_train", F.lit(True)).union(rest.withColumn("in_train", F.lit(False)))
+    return shown(head.withColumn("in_train", F.lit(True)).union(rest.withColumn("in_train", F.lit(False))))
 
 
 @query
@@ -497,7 +499,7 @@ def scale_zscore_pop(spark, folder):
 
 @query
 def class_weights(spark, folder):
-    return rounded(features.class_weights(tables.scan_source(gold(spark, folder), "botnet")))
+    return rounded(features.class_weights(gold(spark, folder)))
 
 
 # --- models (no SQL form) ---------------------------------------------------------------------
@@ -592,7 +594,7 @@ def feature_importance(spark, folder):
 
 @query
 def feature_ablation(spark, folder):
-    return experiments.ablation(labelled(spark, folder), ORDER, trees=10)
+    return experiments.ablation(labelled(spark, folder), ORDER)
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -644,7 +646,7 @@ def generalization_verdict(spark, folder):
 
 @query
 def ladder_counts(spark, folder):
-    return experiments.rung_counts(view(spark, folder, "flows"), KEYS, LONG_LADDER)
+    return experiments.rung_counts(gold(spark, folder), KEYS, LONG_LADDER)
 
 
 @query
@@ -658,7 +660,7 @@ def robust_ladder_counts(spark, folder):
 @query
 def scalability_ladder(spark, folder):
     return experiments.ladder(
-        gold(spark, folder), KEYS, lambda n: models.stages(models.forest(20)),
+        gold(spark, folder), KEYS, lambda n: models.stages(models.forest(50)),
         LONG_LADDER, experiment="scalability", algorithm="Random Forest",
     )
 

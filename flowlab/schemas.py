@@ -74,6 +74,7 @@ METRICS = T.StructType([
 ])
 
 # The result columns compared between two conditions.
+# The metrics that are compared.
 COMPARED_METRICS = [
     "training_time_sec", "prediction_time_sec", "total_ml_time_sec",
     "accuracy", "precision_weighted", "recall_weighted", "f1", "roc_auc",

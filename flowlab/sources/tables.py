@@ -25,8 +25,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_files(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
-    """The Parquet files directly in a folder as one table; each row knows its file."""
-    rows = spark.read.option("pathGlobFilter", files).parquet(folder)
+    """The Parquet files directly in a folder as one table; each row knows its file. Columns that
+    only some files have are null for the others; conflicting types fail."""
+    rows = spark.read.option("pathGlobFilter", files).option("mergeSchema", True).parquet(folder)
     return rows.withColumn(SOURCE, F.col("_metadata.file_name"))
 
 

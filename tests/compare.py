@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -61,7 +62,7 @@ def main(folder: str, names: list[str]) -> None:
 
     spark = get_session(**{
         "spark.master": "local[8]", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), entry.oracle_sql(), []

@@ -149,3 +149,13 @@ def test_growth_starts_at_the_smallest_run(spark):
     got = {r.fraction: r for r in results.scalability_growth(df.selectExpr("'s' as s", "*"), ["s"]).collect()}
     assert got[0.5].training_time_growth == 2.0 and got[0.1].training_time_growth == 1.0
     assert got[0.5].prediction_time_growth is None and got[0.5].rows_per_second_training == 20.0
+
+
+def test_constants_have_no_correlation(spark):
+    df = spark.range(1000).selectExpr("id", "0.1e0 a", "0.7e0 b", "2 * id + rand(1) c")
+    pairs = analysis.correlation(df, ["id", "a", "b", "c"])
+    got = {(r.feature_1, r.feature_2): r.correlation for r in pairs.collect()}
+    assert [k for k, v in got.items() if v is not None] == [("id", "c")] and got["id", "c"] > 0.99
+    strong = analysis.high_correlations(pairs).collect()
+    assert [(r.feature_1, r.n_pairs, r.is_strongest) for r in strong] == [("id", 1, True)]
+    assert analysis.correlation_matrix(pairs, ["id", "a", "b", "c"]).where("feature = 'a'").first()["a"] is None

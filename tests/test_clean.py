@@ -72,8 +72,8 @@ def test_required_and_present_columns(odd):
     assert clean.keep_present(odd, ["y", "x", "id"]).columns == ["x", "id"]
 
 
-def test_empty_columns_beyond_the_probe(spark):
-    n = clean.PROBE_ROWS * 3
+def test_empty_columns(spark):
+    n = 3000
     df = spark.range(n).selectExpr(
         "id", "cast(null as string) as empty", "cast('NaN' as double) as nan",
         f"if(id = {n - 1}, 'late', null) as late", "if(id = 0, 1e0, cast('NaN' as double)) as early",

@@ -29,11 +29,10 @@ def rows(request):
     return some_rows(request.param[0], hot=request.param[1])
 
 
-@pytest.fixture(params=[(100_000, 10_000), (0, 10_000), (0, 7)], ids=["window", "slices", "stepped"])
+@pytest.fixture(params=[10_000, 7], ids=["whole", "stepped"])
 def step(request, monkeypatch):
-    """Few rows are ordered by one task; many by slices; large groups of copies in steps."""
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", request.param[0])
-    monkeypatch.setattr(ordering, "COPIES_PER_STEP", request.param[1])
+    """Large groups of copies are written out in steps."""
+    monkeypatch.setattr(ordering, "COPIES_PER_STEP", request.param)
 
 
 def frame(spark, rows, parts=5):
@@ -113,14 +112,6 @@ def test_stratified_sizes(spark, rows, step):
     assert Counter(map(tuple, train.collect())) + Counter(map(tuple, test.collect())) == Counter(rows)
 
 
-def test_rows_without_a_class_are_not_drawn(spark):
-    df = spark.range(90).selectExpr("id", "if(id % 3 = 0, null, cast(id % 3 as int)) as is_attack")
-    got = split.stratified_sample(df, 20, ["id"]).collect()
-    assert Counter(r.is_attack for r in got) == {1: 10, 2: 10}
-    train, test = split.split_stratified(df, ["id"])
-    assert (train.count(), test.count()) == (48, 42)
-
-
 def test_draws_follow_the_digest(spark):
     df = spark.range(500).selectExpr("id", "cast(id % 2 as int) as is_attack").repartition(7)
     got = {r.id for r in split.stratified_sample(df, 100, ["id"]).collect()}
@@ -171,3 +162,27 @@ def test_empty_table(spark):
     assert split.mark_ordered(df, ["a"]).count() == 0
     assert split.mark_exact(df, ["a"]).count() == 0
     assert split.stratified_sample(df, 5, ["a"], label="g").count() == 0
+
+
+def test_null_is_a_class_and_minus_zero_stays(spark):
+    from flowlab.operators import split
+
+    rows = [(i, None if i % 4 == 0 else i % 2, -0.0 if i % 3 else 0.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, is_attack int, x double").repartition(5)
+    assert sorted(split.stratified_sample(df, 5000, ["id"]).collect(), key=str) == sorted(df.collect(), key=str)
+    marked = split.mark_stratified(df, ["id"]).collect()
+    for label in (None, 0, 1):
+        own = [r for r in marked if r.is_attack == label]
+        assert 0.75 < sum(r.in_train for r in own) / len(own) < 0.85
+    for order in (["id"], ["x", "id"]):
+        cut = ordering.order_cut(df, order, 400, 1000).collect()
+        assert sum(r.in_head for r in cut) == 400
+        assert sorted((r.id, str(r.x)) for r in cut) == sorted((r[0], str(r[2])) for r in rows)
+
+
+def test_tiny_fractions(spark):
+    from flowlab.operators import split
+
+    n = split.hash_sample(spark.range(200_000), 0.0004, ["id"]).count()
+    assert 40 < n < 130
+    assert abs(split.hash_sample(spark.range(30_000), 1 / 3, ["id"]).count() - 10_000) < 400

@@ -89,3 +89,15 @@ def test_warehouse_where_no_folder_is_set():
                 return "hdfs:///warehouse/" if key == "spark.sql.warehouse.dir" else default
 
     assert staging.shared_folder(Session) == "hdfs:///warehouse/staged"
+
+
+def test_files_of_differing_columns(spark, tmp_path):
+    raw = tmp_path / "raw"
+    spark.sql("SELECT 1 id, 2 x").coalesce(1).write.parquet(str(raw / "a"))
+    spark.sql("SELECT 3 id, 'y' y").coalesce(1).write.parquet(str(raw / "b"))
+    folder = tmp_path / "flat"
+    folder.mkdir()
+    for name in ("a", "b"):
+        next((raw / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
+    table = tables.ingest(spark, str(folder), str(tmp_path / "bronze"))
+    assert {(r.id, r.x, r.y, r.source_file) for r in table.collect()} == {(1, 2, None, "a.parquet"), (3, None, "y", "b.parquet")}
