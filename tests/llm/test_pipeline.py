@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from flowlab.llm import decontaminate, quality, simhash
 from flowlab.llm.queries import REGISTRY
+from tests.compare import difference, spark_table, sql_table
 from tests.conftest import SMALL
 
 
@@ -28,3 +29,10 @@ def test_stages_apply_their_operators(spark):
 
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY if n != "pipeline") == list(range(1, 11))
+
+
+def test_queries_equal_sql(spark, duck):
+    from flowlab.llm.oracles import SQL
+
+    for name, sql in SQL.items():
+        assert difference(spark_table(REGISTRY[name](spark, SMALL)), sql_table(duck, sql)) == ""
