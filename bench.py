@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 QUERIES = [
@@ -34,6 +35,7 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(2 * int(cpus)),
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="flowlab-bench-"),
     })
     spark.sparkContext.setLogLevel("OFF")
     REGISTRY["class_distribution"](spark, folder).collect()

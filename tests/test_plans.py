@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
+from flowlab import oracles, queries
 from flowlab.operators import analysis, clean, ordering, split
 from flowlab.sources import staging
 from tests.conftest import SMALL
@@ -34,9 +34,9 @@ def staged(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_no_forbidden_node(spark, staged, name):
-    final = plan(entry.queries()[name](spark, SMALL))
+    final = plan(queries.REGISTRY[name](spark, SMALL))
     for text in [*staged, final]:
         assert not [f for f in FORBIDDEN if f in text]
 
@@ -53,7 +53,7 @@ def _windows_in_one_task(text: str) -> bool:
     "class_stats", "feature_auc", "roc_auc", "pr_auc", "split_exact", "split_ordered", "sample_with_replacement",
 ])
 def test_no_window_over_all_rows(spark, staged, name):
-    final = plan(entry.queries()[name](spark, SMALL))
+    final = plan(queries.REGISTRY[name](spark, SMALL))
     assert not any(map(_windows_in_one_task, [*staged, final]))
 
 

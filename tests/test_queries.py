@@ -5,12 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from flowlab import fixtures, queries
+from flowlab import fixtures, oracles, queries
 from tests.compare import difference, spark_table, sql_table
 from tests.conftest import SMALL
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracles.SQL
+QUERIES = queries.REGISTRY
 MODELS = {
     "model_stages", "logreg_metrics", "logreg_l2_metrics", "forest_metrics", "ordered_forest",
     "strict_generalization", "weighted_forest_cross_dataset", "weighted_forest_learnable", "batch_scoring", "feature_importance",
