@@ -106,7 +106,8 @@ def _repeated_words(hashes: Column) -> Column:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures of its texts; columns of these names are replaced.
 
-    A null text counts as an empty one: every measure is 0.
+    A null text counts as an empty one: every measure is 0. The measures come out of a generator:
+    a later filter on them cannot be pushed below, which would repeat them, per word in the worst case.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -117,7 +118,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     def count(condition) -> Column:
         return F.size(F.filter(ln, condition)).cast("bigint")
 
-    return base.withColumns({
+    measures = {
         "n_words": n.cast("bigint"),
         "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
         "n_symbols": (F.octet_length(t) - F.octet_length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("bigint"),
@@ -127,7 +128,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.array_intersect(w, F.array(*map(F.lit, STOP_WORDS)))).cast("bigint"),
         "n_bullet_lines": count(lambda x: x.rlike("^\\s*[-*•‣]\\s")),
         "n_ellipsis_lines": count(lambda x: x.rlike("(\\.\\.\\.|…)\\s*$")),
-    }).drop("_words", "_lines", "_windows")
+    }
+    one = F.struct(*(c.alias(name) for name, c in measures.items()))
+    own = [c for c in df.columns if c not in measures and c not in ("_words", "_lines", "_windows", "_measures")]
+    return base.select(*own, F.explode(F.array(one)).alias("_measures")).select(*own, "_measures.*")
 
 
 def judged(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -150,6 +154,4 @@ def judged(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
 def kept(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of df that `judged` keeps, with their own columns only, whatever their names."""
     own = df.select(F.col(text).alias("text"), F.struct(*df.columns).alias("__row"))
-    # A generator, not a filter: a filter would be pushed below the measures and repeat them.
-    row = F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")
-    return judged(own, "text", rules).select(row).select("__row.*")
+    return judged(own, "text", rules).where("kept").select("__row.*")

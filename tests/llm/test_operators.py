@@ -308,3 +308,8 @@ def test_html(spark):
         p = html_extract.parsed(html_extract.training_page(r))
         keep = html_extract.decoded(p, np.array([r.uniform(-2, 2) for _ in p.elements]))
         assert all(keep[e.parent] for i, e in enumerate(p.elements) if i and keep[i])
+
+
+def test_filters_on_measures_stay_above_them(docs):
+    plan = quality.judged(docs).where("not kept and n_words > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate") and plan.count("split(") < 10
