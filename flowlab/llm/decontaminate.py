@@ -63,7 +63,9 @@ class Passages:
         for item, text in sorted(items, key=lambda i: (i[0] is None, i[0])):
             codes = normalised(text)
             for at in range(0, len(codes), PIECE):
-                piece = codes[at : at + PIECE]
+                # The last piece is as long as the others: a short rest would mark clean texts.
+                start = min(at, max(0, len(codes) - PIECE))
+                piece = codes[start : start + PIECE]
                 # A passage shorter than one q-gram marks nothing.
                 if len(piece) >= Q:
                     known.setdefault(piece.tobytes(), item)

@@ -49,6 +49,9 @@ PATTERNS = {
     "person": rf"\b(?P<title>{'|'.join(GENDER)})\b\.? (?P<names>[^\W\d_a-zа-яα-ω]{_NAME}(?: [^\W\d_a-zа-яα-ω]{_NAME})?)",
 }
 FINDER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+# Where a kind's forms fill its space: from this attempt on an address may leave its network class,
+# and from four times as many on a surrogate may be some other entity's real form.
+CROWDED = 16
 # What any entity needs, in the built-in engine's dialect: a character that all but names have,
 # or a form of address. One class of first letters keeps the scan short.
 MAY_HOLD = rf"[@0-9=:]|[{''.join(sorted({t[0] for t in GENDER}))}](?:{'|'.join(sorted({t[1:] for t in GENDER}))})\b"
@@ -152,9 +155,11 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         return next((c for d in "0123456789" if luhn(c := new[:-1] + d)), new) if luhn(form) else new
     if kind == "ip":
         old = form.split(".")
-        # Private networks stay private.
-        keep = 1 if old[0] == "10" else 2 if old[:2] == ["192", "168"] else 0
-        return ".".join(old[:keep] + [str(next(s) % 254 + 1) for _ in old[keep:]])
+        # Private networks stay private; the small one overflows into the large one first.
+        keep = ["10"] if old[0] == "10" else ["192", "168"] if old[:2] == ["192", "168"] else []
+        if keep and attempt >= CROWDED:
+            keep = ["10"] if attempt < 2 * CROWDED else []
+        return ".".join(keep + [str(next(s) % 254 + 1) for _ in old[len(keep):]])
     if kind == "email":
         local, domain = form.rsplit("@", 1)
         names, top = domain.rsplit(".", 1)
@@ -206,7 +211,11 @@ def detected(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def mapped(found: DataFrame, secret: str) -> DataFrame:
-    """(kind, form, new): a surrogate for each distinct form, no two alike and none a real form."""
+    """(kind, form, new): a surrogate for each distinct form, no two alike and none a real form.
+
+    Where real forms leave hardly any room (4 * CROWDED draws without success) a surrogate may be
+    another entity's real form, never its own; surrogates stay distinct, so the rounds end.
+    """
     key = secret.encode()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +232,8 @@ def mapped(found: DataFrame, secret: str) -> DataFrame:
         # The smallest form keeps a contested surrogate, unless it is somebody's real form.
         owners = drawn.groupBy("kind", "new").agg(F.min("form").alias("owner"))
         owners = owners.join(real.withColumn("is_real", F.lit(True)), ["kind", "new"], "left")
-        again = F.col("is_real").isNotNull() | (F.col("owner") != F.col("form"))
+        taken = F.col("is_real").isNotNull() & (F.col("attempt") < 4 * CROWDED)
+        again = taken | (F.col("owner") != F.col("form")) | (F.col("new") == F.col("form"))
         marked = drawn.join(owners, ["kind", "new"]).select("kind", "form", "attempt", "new", again.alias("again"))
         marked = stage(marked, "surrogates")
         if marked.where("again").isEmpty():

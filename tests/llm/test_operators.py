@@ -313,3 +313,22 @@ def test_html(spark):
 def test_filters_on_measures_stay_above_them(docs):
     plan = quality.judged(docs).where("not kept and n_words > 1")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate") and plan.count("split(") < 10
+
+
+def test_a_long_passage_leaves_no_short_piece(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 100)
+    r = random.Random(4)
+    item = "".join(r.choice("abcdefghilmnoprst ") for _ in range(209)).strip().replace("  ", "a ")
+    passages = decontaminate.Passages([(1, item)])
+    assert set(passages.m.tolist()) == {100}
+    assert not decontaminate.hits(["x " * 30 + item[-9:] + " y" * 30], passages)
+    assert {t for t, _ in decontaminate.hits(["x " * 30 + item + " y", item[:110], item[-105:]], passages)} == {0, 1, 2}
+
+
+def test_pii_of_crowded_kinds_ends(spark, monkeypatch):
+    assert pii.surrogate("ip", "192.168.1.2", pii.CROWDED - 1, b"k").startswith("192.168.")
+    assert pii.surrogate("ip", "192.168.1.2", pii.CROWDED, b"k").startswith("10.")
+    monkeypatch.setattr(pii, "CROWDED", 0)
+    found = spark.createDataFrame([("digits", f"{i:02d}") for i in range(70)], "kind string, form string")
+    got = pii.mapped(found, "key").collect()
+    assert len({r.new for r in got}) == 70 and not any(r.new == r.form for r in got)
