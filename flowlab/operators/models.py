@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,20 @@ def logistic_l2(train_rows: int, iterations: int = 1000, target: str = TARGET) -
     )
 
 
-def stages(model, features: Sequence[str] = FEATURES, scale: str | None = None) -> Pipeline:
-    """Assembler, optional scaler ('std' or 'zscore'), classifier, fitted as one: the scaler
-    sees the training rows only."""
+def stages(model, features: Sequence[str] = FEATURES, scale: str | None = None, train_rows: int = 0) -> Pipeline:
+    """Assembler, optional scaler ('std', 'zscore' or 'population'), classifier, fitted as one: the
+    scaler sees the training rows only. 'population' divides by the population standard deviation
+    and needs the number of training rows, by which it differs from the sample's."""
     if scale is None:
         return Pipeline(stages=[assembler(features), model])
-    if scale not in ("std", "zscore"):
-        raise ValueError(f"scale must be None, 'std' or 'zscore', not {scale!r}")
+    if scale not in ("std", "zscore", "population"):
+        raise ValueError(f"scale must be None, 'std', 'zscore' or 'population', not {scale!r}")
+    if scale == "population":
+        factor = math.sqrt(train_rows / (train_rows - 1)) if train_rows > 1 else 1.0
+        widened = ElementwiseProduct(
+            scalingVec=Vectors.dense([factor] * len(features)), inputCol="sample_scaled", outputCol="features"
+        )
+        return Pipeline(stages=[assembler(features, "raw_features"), scaler(True, output="sample_scaled"), widened, model])
     return Pipeline(stages=[assembler(features, "raw_features"), scaler(scale == "zscore"), model])
 
 

@@ -269,7 +269,9 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "pr_auc": f"{BY_SCORE}, points AS (SELECT score, sum(n1) OVER w / sum(n1) OVER () AS r, sum(n1) OVER w / sum(n0 + n1) OVER w AS p FROM by_score WINDOW w AS (ORDER BY score DESC)), steps AS (SELECT r - coalesce(lag(r) OVER (ORDER BY score DESC), 0) AS dr, p + coalesce(lag(p) OVER (ORDER BY score DESC), p) AS pp FROM points) SELECT round(sum(dr * pp / 2), 6) AS pr_auc FROM steps",
     "generalization_verdict": f"{CELLS} SELECT *, round(tp::DOUBLE / (tp + fn), 6) AS recall_attack, CASE WHEN tp = 0 THEN 'none' WHEN tp::DOUBLE / (tp + fn) < 0.5 THEN 'limited' ELSE 'present' END AS generalization FROM cells",
     "ladder_counts": f"{GOLD} {_rungs('gold', LONG_LADDER, bucket('sample'), bucket('split'))}",
-    "robust_ladder_counts": f"{FLOWS}, t AS (SELECT DISTINCT {', '.join(OTHERS)}, {TARGET} FROM flows) {_rungs('t', LADDER, bucket('sample', ROBUST_KEYS), bucket('split', ROBUST_KEYS))}",
+    "robust_ladder_counts": f"{FLOWS}, t AS (SELECT DISTINCT {', '.join(FEATURES)}, {TARGET} FROM flows) {_rungs('t', LADDER, bucket('sample', ROBUST_KEYS), bucket('split', ROBUST_KEYS))}",
+    "sample_detector_counts": f"""{SAMPLE}, t AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM sample_flows))
+SELECT true AS in_train, CAST(n - ceil(n * 0.2e0) AS BIGINT) AS n_rows FROM t UNION ALL SELECT false, CAST(ceil(n * 0.2e0) AS BIGINT) FROM t""",
     "time_per_row": f"{RUNS} SELECT {RUN}, round(training_time_sec / n_rows, 9) AS time_per_row FROM run_metrics",
     "scalability_growth": f"{RUNS} SELECT {RUN}, round(training_time_sec / first(training_time_sec) OVER w, 4) AS training_time_growth, round(prediction_time_sec / first(prediction_time_sec) OVER w, 4) AS prediction_time_growth, round(train_rows / training_time_sec, 4) AS rows_per_second_training, round(test_rows / prediction_time_sec, 4) AS rows_per_second_prediction FROM run_metrics WINDOW w AS (PARTITION BY condition, algorithm ORDER BY fraction)",
     "scalability_findings": f"{RUNS} SELECT condition, algorithm, max(n_rows) AS largest_rows, first(dataset_size ORDER BY n_rows DESC, fraction) AS largest_size, round(min(training_time_sec), 6) AS fastest_training_sec, first(dataset_size ORDER BY training_time_sec, fraction) AS fastest_size, round(max(f1), 6) AS best_f1, first(dataset_size ORDER BY f1 DESC, fraction) AS best_f1_size FROM run_metrics GROUP BY condition, algorithm",

@@ -57,21 +57,22 @@ def metric_table(spark, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in METRICS.names) for r in rows], METRICS)
 
 
-def _columns(keys: Sequence[str], features: Sequence[str]) -> list[str]:
-    """A column may be both key and feature."""
-    return list(dict.fromkeys([*keys, *features, TARGET]))
+def _taken(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Keys, features and target, which must all be there; a column may be both key and feature."""
+    columns = list(dict.fromkeys([*keys, *features, TARGET]))
+    return clean.require_columns(df, columns).select(columns)
 
 
 def prepared(df: DataFrame, keys: Sequence[str] = (), features: Sequence[str] = FEATURES) -> DataFrame:
     """Keys, double features without any missing value (0.0 instead), target; no null target."""
-    table = clean.drop_null_label(df.select(_columns(keys, features)))
+    table = clean.drop_null_label(_taken(df, keys, features))
     return clean.zero_fill_all(table, features)
 
 
 def complete(df: DataFrame, keys: Sequence[str] = (), features: Sequence[str] = FEATURES) -> DataFrame:
     """Keys, double features, target; rows with a missing value of any kind are left out (a fit
     rejects Infinity)."""
-    table = clean.cast_features(df.select(_columns(keys, features)), features)
+    table = clean.cast_features(_taken(df, keys, features), features)
     return clean.drop_incomplete(clean.inf_to_null(table, features), [*features, TARGET])
 
 
@@ -207,11 +208,12 @@ def ladder(
 
 
 def exact_size_ladder(
-    df: DataFrame, keys: list[str], sizes: Sequence[int], make: MakeModel, replacement: bool = False, **labels
+    df: DataFrame, keys: list[str], sizes: Sequence[int], make: MakeModel, replacement: bool = False,
+    features: Sequence[str] = FEATURES, **labels,
 ) -> DataFrame:
     """One run per exact sample size: class shares kept, or drawn with replacement (then the
     model is scored on its own sample). Sizes above the table are skipped."""
-    table = prepared(df, keys)
+    table = prepared(df, keys, features)
     rows = []
     with kept(table):
         n = table.count()
@@ -225,7 +227,7 @@ def exact_size_ladder(
                 drawn = split.stratified_sample(table, size, keys)
                 train, test = split.split_stratified(drawn, keys, seed="split")
             rows.append(split_run(
-                train, test, make(size), dataset_size=str(size), fraction=min(size / n, 1.0), **labels
+                train, test, make(size), features=features, dataset_size=str(size), fraction=min(size / n, 1.0), **labels
             ).row)
     return metric_table(df.sparkSession, rows)
 

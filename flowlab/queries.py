@@ -18,7 +18,7 @@ from flowlab.operators import (
 )
 from flowlab.plans import experiments, medallion
 from flowlab.schemas import (
-    FEATURES, LONG_LADDER, OPTIONAL_FEATURE, RAW_LABEL, SAMPLE_RAW, SOURCE, TARGET,
+    FEATURES, LONG_LADDER, OPTIONAL_FEATURE, RAW_LABEL, SAMPLE_FEATURES, SAMPLE_RAW, SOURCE, TARGET,
 )
 from flowlab.sources import tables
 from flowlab.sources.staging import new_folder, stage
@@ -32,6 +32,10 @@ ODD = "Flow_Bytes_per_s"
 DESCRIBED = ["Protocol", "Flow_Duration", "Total_Fwd_Packets", "Total_Backward_Packets", TARGET]
 SMALL_SIDE = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", RAW_LABEL]
 DRAWS = 500
+ROBUST_KEYS = ["Flow_Duration", "Protocol", "Total_Fwd_Packets", "Total_Backward_Packets"]
+# The sizes of the small ladder.
+SMALL_SIZES = [5, 10, 25, 50]
+SAMPLE_KEYS = ["row_key", "src_ip", "dst_ip", "src_port"]
 
 REGISTRY: dict[str, Query] = {}
 
@@ -530,7 +534,8 @@ def logreg_metrics(spark, folder):
 def logreg_l2_metrics(spark, folder):
     table = experiments.prepared(gold(spark, folder), KEYS)
     train, test = split.split_stratified(stage(table, "prepared"), KEYS)
-    pipeline = models.stages(models.logistic_l2(train.count()), scale="zscore")
+    n = train.count()
+    pipeline = models.stages(models.logistic_l2(n), scale="population", train_rows=n)
     return _metrics(spark, experiments.split_run(
         train, test, pipeline, experiment="stratified split", algorithm="Logistic Regression"
     ))
@@ -649,12 +654,16 @@ def ladder_counts(spark, folder):
     return experiments.rung_counts(gold(spark, folder), KEYS, LONG_LADDER)
 
 
+def _distinct_features(spark: SparkSession, folder: str) -> DataFrame:
+    flows = features.add_target(clean.normalise_label(view(spark, folder, "flows")))
+    keys = [F.col(k).cast("string").alias(f"key_{k}") for k in ROBUST_KEYS]
+    return dedup.distinct_projection(flows).select("*", *keys)
+
+
 @query
 def robust_ladder_counts(spark, folder):
     """The ladder on distinct feature rows; the draw goes by the row's own values."""
-    flows = features.add_target(clean.normalise_label(view(spark, folder, "flows")))
-    table = dedup.distinct_projection(flows, [f for f in FEATURES if f != ODD])
-    return experiments.rung_counts(table, ["Flow_Duration", "Protocol", "Total_Fwd_Packets", "Total_Backward_Packets"])
+    return experiments.rung_counts(_distinct_features(spark, folder), ROBUST_KEYS)
 
 
 @query
@@ -676,9 +685,9 @@ def logistic_ladder(spark, folder):
 @query
 def robust_ladder(spark, folder):
     """The forest ladder on distinct feature rows."""
-    flows = features.add_target(clean.normalise_label(view(spark, folder, "flows")))
+    # Keys as text of their own: the features become doubles, which would draw other rows.
     return experiments.ladder(
-        dedup.distinct_projection(flows), FEATURES, lambda n: models.stages(models.forest(20)),
+        _distinct_features(spark, folder), [f"key_{k}" for k in ROBUST_KEYS], lambda n: models.stages(models.forest(20)),
         experiment="deduplicated", algorithm="Random Forest",
     )
 
@@ -687,11 +696,47 @@ def robust_ladder(spark, folder):
 def exact_size_ladder(spark, folder):
     return experiments.exact_size_ladder(
         gold(spark, folder), KEYS, [2500, 7500],
-        lambda n: models.stages(models.logistic_l2(n), scale="zscore"),
+        lambda n: models.stages(models.logistic_l2(n), scale="population", train_rows=n),
         experiment="exact sizes", algorithm="Logistic Regression",
     )
 
 
+def _sample_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows of the small sample with complete features; the key is the row's second as text."""
+    table = medallion.sample_to_gold(medallion.sample_to_silver(view(spark, folder, "sample_flows")))
+    table = table.withColumn("row_key", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return table.select("row_key", "src_ip", "dst_ip", *SAMPLE_FEATURES, TARGET)
+
+
+@query
+def sample_detector(spark, folder):
+    """Logistic regression on the five features of the small sample, exact 80 / 20 split."""
+    table = experiments.prepared(_sample_table(spark, folder), SAMPLE_KEYS, SAMPLE_FEATURES)
+    sides = split.split_exact(stage(table, "sample"), SAMPLE_KEYS)
+    return _metrics(spark, experiments.split_run(
+        *sides, models.stages(models.logistic(100), SAMPLE_FEATURES, "zscore"), features=SAMPLE_FEATURES,
+        experiment="sample", algorithm="Logistic Regression",
+    ))
+
+
+@query
+def sample_detector_counts(spark, folder):
+    """Rows on both sides of the sample detector's split."""
+    table = experiments.prepared(_sample_table(spark, folder), SAMPLE_KEYS, SAMPLE_FEATURES)
+    marked = split.mark_exact(stage(table, "sample"), SAMPLE_KEYS)
+    return marked.groupBy("in_train").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def replacement_ladder(spark, folder):
+    """The detector on 5 to 50 rows drawn with replacement, scored on its own draw."""
+    return experiments.exact_size_ladder(
+        _sample_table(spark, folder), SAMPLE_KEYS, SMALL_SIZES,
+        lambda n: models.stages(models.logistic(100), SAMPLE_FEATURES, "zscore"), replacement=True,
+        features=SAMPLE_FEATURES, experiment="replacement", algorithm="Logistic Regression",
+    )
+
+
 def _runs(spark, folder) -> DataFrame:
     return view(spark, folder, "run_metrics")
 

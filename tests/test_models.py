@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from flowlab.operators import evaluate, features, models, split
 from flowlab.plans import experiments
@@ -121,3 +123,11 @@ def test_ablation(learnable):
     full = next(r for r in rows if r.experiment == "Full Model")
     loss = {r.removed_feature: full.roc_auc - r.roc_auc for r in rows if r.removed_feature}
     assert max(loss, key=loss.get) in ("Fwd_Packets_Length_Total", "Total_Fwd_Packets", "Flow_Bytes_per_s")
+
+
+def test_population_scaler_is_a_stage(learnable):
+    n = learnable.count()
+    a = models.stages(models.logistic(), scale="population", train_rows=n).fit(learnable).transform(learnable)
+    moments = a.select(F.posexplode(vector_to_array("features")))
+    spread = moments.groupBy("pos").agg(F.stddev_pop("col").alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-9 or r.s == 0 for r in spread)
