@@ -126,8 +126,9 @@ def test_ablation(learnable):
 
 
 def test_population_scaler_is_a_stage(learnable):
-    n = learnable.count()
-    a = models.stages(models.logistic(), scale="population", train_rows=n).fit(learnable).transform(learnable)
+    table = experiments.prepared(learnable, KEYS)
+    pipeline = models.stages(models.logistic(), scale="population", train_rows=table.count())
+    a = pipeline.fit(table).transform(table)
     moments = a.select(F.posexplode(vector_to_array("features")))
     spread = moments.groupBy("pos").agg(F.stddev_pop("col").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 or r.s == 0 for r in spread)
