@@ -37,7 +37,12 @@ SYLLABLES = {
     "cyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), {"m": "ов ин ей ан".split(), "f": "ова ина ая ия".split(), "n": "ко ых".split()}),
     "greek": ("β γ δ κ λ μ ν π ρ τ".split(), "α ε η ι ο".split(), {"m": "ος ης ας".split(), "f": "α η ια".split(), "n": "ου".split()}),
 }
-_NAME = r"[^\W\d_]+"
+# Particles stay as they are; what follows the first is family name.
+PARTICLES = set("van von der den de del della di da das do dos du la le ter ten te zu zur zum bin ibn al el af av y e".split())
+# Unbroken letters, apostrophes inside; a possessive ending is no part.
+_PIECE = r"[^\W\d_]+(?:['’](?!s\b)[^\W\d_]+)*"
+_NAME = rf"(?:(?:[dl]['’]|(?:al|el)[-‐‑])?(?=[^\W\d_a-zа-яα-ω]){_PIECE}(?:[-‐‑]{_PIECE})*)"
+_NAMES = rf"(?:{_NAME}(?:(?<=\b[^\W\d_])\.(?= {_NAME}))?|(?:{'|'.join(sorted(PARTICLES))})(?=(?: (?:{'|'.join(sorted(PARTICLES))}))* {_NAME}))"
 PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<secret_value>[A-Za-z0-9_+/=.-]{8,})|\b[0-9a-fA-F]{32,}\b",
@@ -46,7 +51,7 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "person": rf"\b(?P<title>{'|'.join(GENDER)})\b\.? (?P<names>[^\W\d_a-zа-яα-ω]{_NAME}(?: [^\W\d_a-zа-яα-ω]{_NAME})?)",
+    "person": rf"\b(?P<title>{'|'.join(GENDER)})\b\.? (?P<names>{_NAMES}(?: {_NAMES})*)",
 }
 FINDER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 # Where a kind's forms fill its space: from this attempt on an address may leave its network class,
@@ -60,36 +65,51 @@ MAY_HOLD = rf"[@0-9=:]|[{''.join(sorted({t[0] for t in GENDER}))}](?:{'|'.join(s
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) without overlaps, in order.
 
-    A name found with a title is found again in the same text wherever its capitalised surname
-    stands alone.
+    Each part of a name found with a title, given or family, is found again in the same text wherever
+    it stands capitalised or in capitals; initials and particles are not.
     """
-    out, surnames = [], {}
+    out, known = [], {}
     for m in FINDER.finditer(text):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k))
         start, end = m.span()
         if kind == "secret" and m.group("secret_value"):
             start, end = m.span("secret_value")
         if kind == "person":
-            at, names = m.start("names"), m.group("names").split(" ")
             gender = GENDER[m.group("title")]
-            for i, name in enumerate(names):
-                part = "given" if i < len(names) - 1 else "family"
+            for start, end, part in name_parts(m.group("names")):
+                name = m.group("names")[start:end].replace("’", "'")
                 form = f"{part} {gender if part == 'given' else _form_gender(name, gender)} {name.casefold()}"
-                out.append((at, at + len(name), "person", form))
-                if part == "family":
-                    surnames[name] = form
-                at += len(name) + 1
+                out.append((m.start("names") + start, m.start("names") + end, "person", form))
+                if len(name) > 1:
+                    for layout in (name, name.upper()):
+                        known.setdefault(layout, form)
             continue
         out.append((start, end, kind, normal_form(kind, text[start:end])))
-    if surnames:
+    if known:
         taken = [(s, e) for s, e, _, _ in out]
-        again = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")\b")
+        layouts = (re.escape(n).replace("'", "['’]") for n in sorted(known, key=len, reverse=True))
+        again = re.compile(r"\b(?:" + "|".join(layouts) + r")\b")
         for m in again.finditer(text):
             if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((m.start(), m.end(), "person", surnames[m.group()]))
+                out.append((m.start(), m.end(), "person", known[m.group().replace("’", "'")]))
     return sorted(out)
 
 
+def name_parts(names: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, given or family) of each part of a full name. The last name and all that follow a
+    particle are family names; names with hyphens are several parts."""
+    words = list(re.finditer(r"[^ ]+", names))
+    family = False
+    for i, w in enumerate(words):
+        last = i == len(words) - 1
+        if w.group().casefold() in PARTICLES and not last:
+            family = family or i > 0 or w.group().islower()
+            continue
+        for p in re.finditer(_PIECE, w.group()):
+            if not (p.group().islower() and p.group() in PARTICLES):
+                yield w.start() + p.start(), w.start() + p.end(), "family" if family or last else "given"
+
+
 def _form_gender(name: str, gender: str) -> str:
     """Family names change with gender in Cyrillic and Greek only."""
     return gender if script(name) != "latin" else "n"
