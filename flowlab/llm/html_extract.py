@@ -18,6 +18,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +38,8 @@ TREES, DEPTH = 24, 4
 # Kinds of tags and the tokens that name regions.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg xmp".split())
+# Of these an end tag that is missing takes the rest of the page with it.
+RAW_TEXT = set("script style textarea title".split())
 BLOCK = set(
     "html body head address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul "
@@ -66,6 +69,8 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|data-y|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# A slash at the end of a value without quotes belongs to the value.
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -95,7 +100,7 @@ def parsed(source: str) -> Page:
     """The element tree. Unclosed and misnested tags close as in browsers for the common cases; a
     page cut short closes where it ends."""
     elements, pieces, block = [Element("html", -1, 0, [])], [], 0
-    stack, at = [0], 0
+    stack, at, endless = [0], 0, set()
 
     def text(raw: str) -> None:
         if raw and (not raw.isspace() or pieces):
@@ -130,9 +135,16 @@ def parsed(source: str) -> Page:
         if name == "br":
             pieces.append((stack[-1], block, " "))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
             elements[stack[-1]].tags += 1
+            if name in endless or name == "svg" and rest.endswith("/") and not UNQUOTED_END.search(rest):
+                continue
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif name in RAW_TEXT:
+                at = len(source)
+            else:
+                endless.add(name)
             continue
         for i in range(len(stack) - 1, 0, -1):
             tag = elements[stack[i]].tag
@@ -174,6 +186,11 @@ def features(page: Page) -> np.ndarray:
     whole = max(1, e[0].chars)
     rows = np.zeros((len(e), len(FEATURES)))
     above = [(0, 0, 0, 0)] * len(e)
+    place, alike = np.zeros(len(e), np.int64), np.ones(len(e), np.int64)
+    for x in e:
+        same = Counter(e[c].tag for c in x.children)
+        for n, c in enumerate(x.children):
+            place[c], alike[c] = n, same[e[c].tag]
     for i, x in enumerate(e):
         bad, good = sum(t in BAD_TOKENS for t in x.tokens), sum(t in GOOD_TOKENS for t in x.tokens)
         over = above[x.parent] if i else (0, 0, 0, 0)
@@ -186,8 +203,8 @@ def features(page: Page) -> np.ndarray:
             aside or header, article, x.tag == "p", x.tag[0] == "h" and x.tag[1:].isdigit(), x.tag in ("li", "ul", "ol", "dl"),
             x.tag in ("div", "section", "body", "html"), x.tag in ("table", "td", "tr", "th", "tbody"), x.tag not in BLOCK,
             x.in_link, min(3, bad), min(3, good), *over, x.depth, math.log1p(x.chars), math.log1p(own[i]),
-            x.link_chars / chars, x.chars / x.tags, x.stops / chars, len(x.children), siblings.index(i) / len(siblings) if len(siblings) < 200 else 0.5,
-            len(siblings), sum(e[s].tag == x.tag for s in siblings[:50]) / min(50, len(siblings)),
+            x.link_chars / chars, x.chars / x.tags, x.stops / chars, len(x.children), place[i] / len(siblings),
+            len(siblings), alike[i] / len(siblings),
             x.chars / max(1, e[x.parent].chars if i else whole), x.chars / whole,
         )
     return rows
