@@ -59,4 +59,42 @@ k AS (
 SELECT doc_id, size, source_size, target, source, (((((place + 1) * step + u) >> 24) - ((place * step + u) >> 24)) * size)::BIGINT AS taken FROM r
 """
 
-SQL: dict[str, str] = {"op9_quality_rules": QUALITY, "op2_systematic_mixing": MIXING}
+_SHIFTED = "list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda acc, b: {_SHIFTED}), 4294967295)"
+
+
+TRIE = f"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, l, conv_id - (conv_id % 5 + 5) % 5 AS base_id, {crc32('conv_id::VARCHAR')} % 9 AS head FROM own
+), rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(b.l[1:h.head], []), h.l[h.head + 1:]) AS l FROM h LEFT JOIN own b ON b.conv_id = h.base_id
+), paths AS (
+  SELECT conv_id, d AS depth, len(l) AS size, l[1:d] AS node, CASE WHEN d > 0 THEN l[1:d - 1] END AS parent, strlen(l[d].t) AS bytes
+  FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node
+), kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY depth, parent
+), full_nodes AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.node = n.node
+), below AS (
+  SELECT t.depth, t.node, sum((v.n_children = 0)::BIGINT) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved
+  FROM (SELECT depth, node, unnest(range(0, depth + 1)) AS up FROM full_nodes) x JOIN full_nodes v ON v.depth = x.depth AND v.node = x.node
+  JOIN full_nodes t ON t.depth = x.up AND t.node = x.node[1:x.up] GROUP BY t.depth, t.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON b.depth = n.depth AND b.node = n.node
+LEFT JOIN full_nodes p ON p.depth = n.depth - 1 AND p.node = n.parent
+"""
+
+SQL: dict[str, str] = {"op13_prefix_trie": TRIE, "op9_quality_rules": QUALITY, "op2_systematic_mixing": MIXING}

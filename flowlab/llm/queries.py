@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import chat, decontaminate, html_extract, mixing, pii, quality, sharding, simhash, token_output, url_filter
+from flowlab.llm import (
+    chat, decontaminate, html_extract, mixing, pii, prefix_trie, quality, sharding, simhash, token_output, url_filter,
+)
 from flowlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +90,14 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op1_boosted_dom_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extracted(table(spark, folder, "pages"))
+
+
+@registered
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    heads = rows.where(conv.isNotNull()).select("conv_id").distinct().select(
+        "conv_id", (conv - F.pmod(conv, F.lit(5))).alias("base_id"),
+        (F.crc32(conv.cast("string").cast("binary")) % 9).alias("head"),
+    )
+    return prefix_trie.prefix_trie(rows, heads)
