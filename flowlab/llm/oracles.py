@@ -97,4 +97,16 @@ FROM full_nodes n JOIN below b ON b.depth = n.depth AND b.node = n.node
 LEFT JOIN full_nodes p ON p.depth = n.depth - 1 AND p.node = n.parent
 """
 
-SQL: dict[str, str] = {"op13_prefix_trie": TRIE, "op9_quality_rules": QUALITY, "op2_systematic_mixing": MIXING}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+SQL: dict[str, str] = {"op12_pivot_top_k": TOP_K, "op13_prefix_trie": TRIE, "op9_quality_rules": QUALITY, "op2_systematic_mixing": MIXING}

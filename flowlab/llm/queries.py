@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm import (
-    chat, decontaminate, html_extract, mixing, pii, prefix_trie, quality, sharding, simhash, token_output, url_filter,
+    chat, decontaminate, html_extract, mixing, pii, pivot_index, prefix_trie, quality, sharding, simhash, token_output, url_filter,
 )
 from flowlab.llm.common import table
 
@@ -101,3 +101,14 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
         (F.crc32(conv.cast("string").cast("binary")) % 9).alias("head"),
     )
     return prefix_trie.prefix_trie(rows, heads)
+
+
+@registered
+def op12_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    vectors = rows.where(F.col("embedding").isNotNull() & whole).select(
+        "vec_id", F.transform(x, lambda v: F.floor(v * 1024.0)).alias("vector")
+    )
+    return pivot_index.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
