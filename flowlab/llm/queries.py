@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm import (
-    chat, decontaminate, html_extract, mixing, pii, pivot_index, prefix_trie, quality, sharding, simhash, token_output, url_filter,
+    chat, decontaminate, html_extract, mixing, pii, pivot_index, prefix_trie, quality, sharding, simhash, token_output, turn_repair,
+    url_filter,
 )
 from flowlab.llm.common import table
 
@@ -112,3 +113,21 @@ def op12_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", F.transform(x, lambda v: F.floor(v * 1024.0)).alias("vector")
     )
     return pivot_index.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, stripped of their ends, repeated or given to the user, by a
+    checksum of conv_id and turn. Nulls are one space."""
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    rows = rows.withColumn("_kind", F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20).where("_kind != 0")
+    kind = F.col("_kind")
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    out = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), "_kind")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_kind") == 3, 2).otherwise(1)))).drop("_copy", "_kind")
+
+
+@registered
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.reports_of_all(rows, damaged(rows))
