@@ -73,3 +73,30 @@ def test_small_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     keyed = [(x.doc_id, x.text) for x in docs.collect()]
     assert {x.doc_id for x in near_copies.representatives(docs).collect()} == groups(keyed)
+
+
+def test_unlike_texts_with_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """One passage in 2,000 texts, a family whose members are mostly unlike one another, and both linked by nothing but the passage."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [f"{passage} " + " ".join(f"u{i}x{j}" for j in range(40)) for i in range(2000)]
+    base = [f"b{i}" for i in range(150)]
+    for _ in range(150):
+        w = list(base)
+        for at in r.sample(range(150), r.choice((2, 5, 7, 9))):
+            w[at] = f"e{r.random()}"
+        rows.append(" ".join(w))
+    keyed = list(enumerate(rows))
+    docs = spark.createDataFrame(keyed, "doc_id bigint, text string")
+    compared = []
+    plain = near_copies._verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    got = {x.doc_id for x in near_copies.representatives(docs).collect()}
+    assert {k for k in got if k < 2000} == set(range(2000))
+    assert {k for k in got if k >= 2000} == groups(keyed[2000:])
+    assert sum(compared) < 3000
