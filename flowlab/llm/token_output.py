@@ -57,14 +57,33 @@ def at_path(folder: str, *parts: str) -> tuple[fs.FileSystem, str]:
     return system, "/".join([path.rstrip("/"), *parts])
 
 
+# The rules under which a tokenizer works word by word.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+# Latin letters that stay one letter in lower case and composed form, unlike the dotted I (U+0130)
+# and letters that fall apart into a letter and a mark, which would take the full stop to itself.
+_CUT = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,])(\s|$)"
+
+
 class WordEncoder:
-    """Encodes texts word by word: the tokenizer never joins across the six ASCII spaces, nor a
-    letter with a full stop or comma that ends a word, and it ignores case. So the ids of a text
-    are those of its words, and words met before are looked up. The lookup is emptied when it is
-    full, which bounds memory and changes no result."""
+    """Encodes texts word by word: a tokenizer of WORD_RULES never joins across the six ASCII spaces,
+    nor a plain Latin letter with a full stop or comma that ends a word, and it ignores case. So
+    the ids of a text are those of its words, and words met before are looked up. The lookup is
+    emptied when it is full, which bounds memory and changes no result. Any other tokenizer gets
+    whole texts."""
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = all(rules[k] == v for k, v in WORD_RULES.items())
         self.model = self.tokenizer.model
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -92,13 +111,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(c.ids, self.kind) for c in coded]
         if len(self.known) > CACHED_WORDS:
             self._forget()
         plain = pa.array(texts, pa.large_string())
         # Special tokens are told apart by case.
         if not pc.any(pc.match_substring(plain, "<|")).as_py():
             plain = pc.ascii_lower(plain)
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, r"(\p{L})([.,])(\s|$)", r"\1 \2\3"))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _CUT, r"\1 \2\3"))
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn([w for w in distinct if w not in self.known])
