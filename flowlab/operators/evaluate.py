@@ -15,6 +15,8 @@ from flowlab.operators.ordering import running_totals
 
 CELLS = ["tn", "fp", "fn", "tp"]
 LIMITED_RECALL = 0.50
+# Fixed value: the bins of Spark's evaluator.
+BINS = 1000
 
 
 def _cell_counts(label: str, prediction: str) -> dict[str, Column]:
@@ -69,6 +71,20 @@ def _pr_auc() -> Column:
     return F.sum(step * (here + F.coalesce(above, here)) / 2)
 
 
+def binned_scores(ranked: DataFrame, bins: int = BINS) -> DataFrame:
+    """Ranked scores drawn together to about `bins` thresholds, as Spark's evaluator does by default: from the
+    highest score down, every `distinct / bins` distinct scores become one, if that is two or more.
+    The evaluator starts anew in each of its partitions, so its figure is this one where it has one."""
+    whole = running_totals(ranked.withColumn("_one", F.lit(1).cast("bigint")), [], ["score"], ["_one"])
+    at_once = F.floor(F.col("_one_total") / F.lit(bins))
+    from_top = F.col("_one_total") - 1 - F.col("_one_before")
+    group = F.when(at_once < 2, from_top).otherwise(F.floor(from_top / at_once))
+    return whole.groupBy(group.alias("_group"), "n0_total", "n1_total").agg(
+        F.max("score").alias("score"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+        F.min("n0_before").alias("n0_before"), F.min("n1_before").alias("n1_before"),
+    ).drop("_group")
+
+
 def roc_auc(ranked: DataFrame) -> DataFrame:
     return ranked.agg(_roc_auc().alias("roc_auc"))
 
@@ -77,6 +93,10 @@ def pr_auc(ranked: DataFrame) -> DataFrame:
     return ranked.agg(_pr_auc().alias("pr_auc"))
 
 
+def areas(ranked: DataFrame) -> DataFrame:
+    return ranked.agg(_roc_auc().alias("roc_auc"), _pr_auc().alias("pr_auc"))
+
+
 def evaluate(scored: DataFrame, label: str = "label", score: str = "score", prediction: str = "prediction") -> DataFrame:
     """All metrics of one set of predictions as one row."""
     ranked = ranked_scores(scored, label, score, prediction)

@@ -64,6 +64,21 @@ def largest_remainder(size: Callable[[str], str], group: str = CLASS) -> Callabl
     return quota
 
 
+def size_quotas(counts: DataFrame, source: str, label: str, sizes: Sequence[int]) -> DataFrame:
+    """(source, dataset_size, label, quota): how many rows of each class a sample of each size takes from each
+    source, class shares kept; sizes above a source's rows are left out. `counts` has one row (source, label, n) per
+    class, so all sizes of all sources come from one pass over the data."""
+    whole = W.partitionBy(source)
+    size = F.explode(F.array(*(F.lit(int(s)).cast("bigint") for s in sizes))).alias("dataset_size")
+    sized = counts.withColumn("_all", F.sum("n").over(whole)).select("*", size).where("dataset_size <= _all")
+    product = "cast(dataset_size as decimal(19, 0)) * cast(n as decimal(19, 0))"
+    base = sized.withColumns({"_floor": F.expr(f"{product} div cast(_all as decimal(19, 0))"), "_rest": F.expr(f"({product}) % _all")})
+    rung = W.partitionBy(source, "dataset_size")
+    spare = F.col("dataset_size") - F.sum("_floor").over(rung)
+    extra = (F.row_number().over(rung.orderBy(F.desc("_rest"), label)) <= spare).cast("bigint")
+    return base.select(source, "dataset_size", label, (F.col("_floor") + extra).alias("quota"))
+
+
 def stratified_sample(df: DataFrame, n: int, keys: list[str], label: str = TARGET, seed: str = "") -> DataFrame:
     """Exactly n rows with the class shares kept, null being a class; the whole table if it has no
     more than n."""

@@ -134,8 +134,6 @@ ROBUST_KEYS = "concat_ws('|', {seed}" + ", ".join(
 DOUBLES = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in OTHERS)
 FLOW_COLUMNS = f"{', '.join([*BASE_COLUMNS, 'Empty_Column', 'Label'])}, {DAY}, {odd()}"
 GOLD_ROW = f"{KEY_LIST}, source_file, {', '.join(OTHERS)}, Average_Packet_Size, is_attack, {DAY}"
-SIDES = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", "Label"]
-SIDE_LIST = ", ".join(SIDES)
 HEAD_COLUMNS = ", ".join(FEATURES) + ", is_attack"
 RUN = "condition, algorithm, dataset_size"
 SIZE_ORDER = "CAST(list_position(['10%', '25%', '50%', '75%', '100%'], dataset_size) AS BIGINT)"
@@ -180,6 +178,87 @@ def _robust() -> str:
     )
 
 
+
+
+def _except(kind: str) -> str:
+    return f"{FLOWS} SELECT {FLOW_COLUMNS} FROM (SELECT * FROM flows {kind} SELECT * FROM flows_base WHERE source_file = 'botnet')"
+
+
+# --- logistic regression: Newton steps, each an aggregate and a Gauss-Jordan elimination on one row -----------
+
+SIZE = len(FEATURES) + 1
+PREPARED = GOLD + f", prepared AS (SELECT {KEY_LIST}, source_file, " + ", ".join(
+    f"CASE WHEN isfinite({f}) THEN {f} ELSE 0 END AS {f}" if f == ODD else f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES
+) + f", CAST(is_attack AS DOUBLE) AS y, {bucket('split')} < {edge(0.8)} AS in_train FROM gold)"
+
+
+def _newton(penalty: float, spread: str, steps: int = 8) -> str:
+    """Ends with a relation `weights` of one row: b, the list of intercept and coefficients."""
+    z = [f"z{i}" for i in range(1, SIZE)]
+    moments = ", ".join(f"avg({f}) AS m{i}, {spread}({f}) AS d{i}" for i, f in enumerate(FEATURES, 1))
+    scaled = ", ".join(f"({f} - m{i}) / d{i} AS z{i}" for i, f in enumerate(FEATURES, 1))
+    parts = [
+        PREPARED + f", moments AS MATERIALIZED (SELECT {moments} FROM prepared WHERE in_train)",
+        f"z AS MATERIALIZED (SELECT p.*, {scaled} FROM prepared p, moments)",
+        f"b0 AS MATERIALIZED (SELECT list_transform(range(0, {SIZE}), lambda i: 0e0) AS b)",
+    ]
+    x = ["1e0", *z]
+    eta = " + ".join(["b[1]", *(f"b[{i}] * {c}" for i, c in enumerate(z, 2))])
+    for s in range(1, steps + 1):
+        upper = [f"sum(w * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(SIZE) for j in range(i, SIZE)]
+        sums = ", ".join([*(f"sum(r * {c}) AS g{i}" for i, c in enumerate(x)), *upper])
+        parts.append(
+            f"sums{s} AS MATERIALIZED (SELECT {sums} FROM (SELECT {', '.join(z)}, y - p AS r, p * (1 - p) AS w FROM "
+            f"(SELECT {', '.join(z)}, y, 1 / (1 + exp(-({eta}))) AS p FROM z, b{s - 1} WHERE in_train)))"
+        )
+        rows = ", ".join(
+            "[" + ", ".join(
+                [f"h{min(i, j)}_{max(i, j)}" + (f" + {penalty}e0" if i == j and i else "") for j in range(SIZE)]
+                + [f"g{i}" + (f" - {penalty}e0 * b[{i + 1}]" if i else "")]
+            ) + "]" for i in range(SIZE)
+        )
+        parts.append(f"e{s}_0 AS MATERIALIZED (SELECT [{rows}] AS m FROM sums{s}, b{s - 1})")
+        for k in range(1, SIZE + 1):
+            parts.append(
+                f"e{s}_{k} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / r[{k}]) "
+                f"ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM e{s}_{k - 1})"
+            )
+        parts.append(f"b{s} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v + m[i][{SIZE + 1}]) AS b FROM b{s - 1}, e{s}_{SIZE})")
+    return ", ".join([*parts, f"weights AS (SELECT b FROM b{steps})"])
+
+
+def _coefficients(penalty: float, spread: str) -> str:
+    names = ", ".join(f"'{f}'" for f in ("(intercept)", *FEATURES))
+    return _newton(penalty, spread) + f" SELECT unnest([{names}]) AS feature, round(unnest(b), 6) AS coefficient FROM weights"
+
+
+LOGREG_SCORES = _newton(0, "stddev_samp") + f""" SELECT {KEY_LIST}, CAST(y AS INTEGER) AS label, round(p, 6) AS score, CAST(p > 0.5 AS INTEGER) AS prediction
+FROM (SELECT *, 1 / (1 + exp(-(b[1] + {' + '.join(f'b[{i + 1}] * z{i}' for i in range(1, SIZE))}))) AS p FROM z, weights WHERE NOT in_train)"""
+
+
+def _binned(bins: int) -> str:
+    return f"""SELECT {bins} AS bins, round(sum(n1 * (below + n0 / 2)) / (max(t1) * max(t0)), 6) AS roc_auc,
+  round(sum(n1 / t1 * (hits / (hits + misses) + coalesce((hits - n1) / nullif(hits + misses - n1 - n0, 0), hits / (hits + misses))) / 2), 6) AS pr_auc
+FROM (SELECT *, sum(n0) OVER () AS t0, sum(n1) OVER () AS t1, sum(n0) OVER (ORDER BY grp DESC) - n0 AS below,
+             sum(n1) OVER (ORDER BY grp) AS hits, sum(n0) OVER (ORDER BY grp) AS misses
+      FROM (SELECT CASE WHEN total // {bins} < 2 THEN place ELSE place // (total // {bins}) END AS grp, sum(n0) AS n0, sum(n1) AS n1
+            FROM (SELECT *, row_number() OVER (ORDER BY score DESC) - 1 AS place, count(*) OVER () AS total FROM by_score) GROUP BY grp))"""
+
+
+BINNED = SCORED + (
+    ", by_score AS (SELECT score, sum(1 - label)::DOUBLE AS n0, sum(label)::DOUBLE AS n1 FROM scored GROUP BY score) "
+    + _binned(1000) + " UNION ALL " + _binned(40)
+)
+EXACT_COUNTS = GOLD + """, counts AS (
+  SELECT source_file, is_attack, count(*)::HUGEINT AS n, sum(count(*)) OVER (PARTITION BY source_file)::HUGEINT AS total
+  FROM gold GROUP BY source_file, is_attack
+), sized AS (
+  SELECT *, (size * n) // total AS base, (size * n) % total AS rest
+  FROM counts, (SELECT unnest([2500, 10000, 100000, 250000, 500000, 750000])::BIGINT AS size) WHERE size <= total
+)
+SELECT source_file, size AS dataset_size, is_attack, CAST(base + CASE WHEN row_number() OVER (PARTITION BY source_file, size ORDER BY rest DESC, is_attack)
+  <= size - sum(base) OVER (PARTITION BY source_file, size) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM sized"""
+
 SQL: dict[str, str] = {
     "csv_scan": f"{SAMPLE} SELECT {_text_second(SAMPLE_COLUMNS)} FROM sample_flows",
     "bronze_csv_to_parquet": f"{SAMPLE} SELECT {_text_second(SAMPLE_COLUMNS)} FROM sample_flows",
@@ -215,8 +294,13 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "dedup_projected": f"{FLOWS} SELECT {', '.join(OTHERS)}, is_attack, {odd()} FROM (SELECT DISTINCT {', '.join(FEATURES)}, {TARGET} FROM flows)",
     "dedup_after_clean": f"{FLOWS}, cleaned AS (SELECT DISTINCT {DOUBLES}, CASE WHEN {ODD} IS NULL OR isinf({ODD}) THEN 0e0 ELSE {ODD} END AS {ODD}, CAST(CASE WHEN Label IS NULL OR upper(trim(Label)) <> 'BENIGN' THEN 1 ELSE 0 END AS DOUBLE) AS is_attack FROM flows) SELECT {', '.join(OTHERS)}, is_attack, {odd()} FROM cleaned",
     "duplicate_report": f"{FLOWS}, t AS (SELECT {', '.join(FEATURES)}, {TARGET} FROM flows), r AS (SELECT (SELECT count(*) FROM t) AS total_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS unique_rows) SELECT total_rows, unique_rows, total_rows - unique_rows AS duplicate_rows, round(100e0 * (total_rows - unique_rows) / total_rows, 6) AS duplicate_rate FROM r",
-    "except_distinct": f"{FLOWS} SELECT {SIDE_LIST} FROM flows EXCEPT SELECT {SIDE_LIST} FROM flows WHERE k2 % 10 < 3",
-    "except_all": f"{FLOWS} SELECT {SIDE_LIST} FROM flows EXCEPT ALL SELECT {SIDE_LIST} FROM flows WHERE k2 % 10 < 3",
+    "except_distinct": _except("EXCEPT"),
+    "except_all": _except("EXCEPT ALL"),
+    "exact_size_counts": EXACT_COUNTS,
+    "logreg_coefficients": _coefficients(0, "stddev_samp"),
+    "logreg_l2_coefficients": _coefficients(1, "stddev_pop"),
+    "logreg_scores": LOGREG_SCORES,
+    "binned_auc": BINNED,
     "union_results": f"{RUNS} SELECT {RUN}, n_rows, round(f1, 6) AS f1, CASE WHEN algorithm = 'Random Forest' THEN round(roc_auc, 6) END AS roc_auc FROM run_metrics WHERE (algorithm = 'Logistic Regression' AND condition = 'Original') OR (algorithm = 'Random Forest' AND condition = 'Deduplicated')",
     "preview": f"{GOLD} SELECT {KEY_LIST}, Flow_Duration, round(Fwd_Packets_Length_Total, 6) AS Fwd_Packets_Length_Total, is_attack FROM gold ORDER BY {KEY_LIST}, gold.Fwd_Packets_Length_Total LIMIT 5",
     "table_profile": f"{FLOWS} SELECT count(*) AS n_rows, {len(NULL_COLUMNS)} AS n_columns FROM flows",

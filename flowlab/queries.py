@@ -7,6 +7,7 @@ them is shown as a finite value and a kind. Computed doubles are rounded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlab.fixtures import view
 from flowlab.operators import (
-    analysis, clean, dedup, evaluate, features, models, profile, results, split,
+    analysis, clean, dedup, evaluate, features, models, newton, profile, results, split,
 )
 from flowlab.plans import experiments, medallion
 from flowlab.schemas import (
@@ -30,13 +31,16 @@ ORDER = ["flow_ts", *KEYS, "Fwd_Packets_Length_Total"]
 ODD = "Flow_Bytes_per_s"
 # The columns of the summary.
 DESCRIBED = ["Protocol", "Flow_Duration", "Total_Fwd_Packets", "Total_Backward_Packets", TARGET]
-SMALL_SIDE = ["Protocol", "Total_Fwd_Packets", "Packet_Length_Mean", "Packet_Length_Std", RAW_LABEL]
 DRAWS = 500
 ROBUST_KEYS = ["Flow_Duration", "Protocol", "Total_Fwd_Packets", "Total_Backward_Packets"]
 # The sizes of the small ladder.
 SMALL_SIZES = [5, 10, 25, 50]
 SAMPLE_KEYS = ["row_key", "src_ip", "dst_ip", "src_port"]
 
+SOURCES = ["botnet", "bruteforce"]
+# Fixed values from 100,000 on: the sizes of the large ladder. The first two suit small tables.
+EXACT_SIZES = [2_500, 10_000, 100_000, 250_000, 500_000, 750_000]
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -290,18 +294,18 @@ def duplicate_report(spark, folder):
 
 
 def _sides(spark, folder) -> tuple[DataFrame, DataFrame]:
-    flows = view(spark, folder, "flows")
-    return flows.select(SMALL_SIDE), flows.where("k2 % 10 < 3").select(SMALL_SIDE)
+    """All flows with their copies, and one source as it was before copies were added."""
+    return view(spark, folder, "flows"), view(spark, folder, "flows_base").where(F.col(SOURCE) == "botnet")
 
 
 @query
 def except_distinct(spark, folder):
-    return dedup.except_distinct(*_sides(spark, folder))
+    return shown(dedup.except_distinct(*_sides(spark, folder)))
 
 
 @query
 def except_all(spark, folder):
-    return dedup.except_all(*_sides(spark, folder))
+    return shown(dedup.except_all(*_sides(spark, folder)))
 
 
 @query
@@ -541,6 +545,32 @@ def logreg_l2_metrics(spark, folder):
     ))
 
 
+def _newton_sides(spark, folder) -> tuple[DataFrame, DataFrame]:
+    table = stage(experiments.prepared(gold(spark, folder), KEYS), "prepared")
+    return split.hash_split(table, KEYS)
+
+
+@query
+def logreg_coefficients(spark, folder):
+    """Logistic regression without penalty by Newton steps: coefficients per standard deviation."""
+    return rounded(newton.fit(_newton_sides(spark, folder)[0]).table(spark))
+
+
+@query
+def logreg_l2_coefficients(spark, folder):
+    """With a penalty of |w|^2 / 2 on the summed loss, on population z-scores."""
+    return rounded(newton.fit(_newton_sides(spark, folder)[0], penalty=1.0, population=True).table(spark))
+
+
+@query
+def logreg_scores(spark, folder):
+    """Every row of the test side with the score of the model fitted on the other side."""
+    train, test = _newton_sides(spark, folder)
+    score = newton.fit(train).score()
+    scored = test.select(*KEYS, F.col(TARGET).cast("int").alias("label"), score.alias("score"))
+    return rounded(scored.withColumn("prediction", (F.col("score") > 0.5).cast("int")))
+
+
 @query
 def forest_metrics(spark, folder):
     pipeline = models.stages(models.forest(20))
@@ -641,6 +671,17 @@ def pr_auc(spark, folder):
     return rounded(evaluate.pr_auc(evaluate.ranked_scores(view(spark, folder, "scored"))))
 
 
+@query
+def binned_auc(spark, folder):
+    """Both areas at the evaluator's number of bins and at one that draws scores of this table together."""
+    ranked = stage(evaluate.ranked_scores(view(spark, folder, "scored")), "ranked")
+
+    def areas(bins: int) -> DataFrame:
+        return evaluate.areas(evaluate.binned_scores(ranked, bins)).select(F.lit(bins).alias("bins"), "roc_auc", "pr_auc")
+
+    return rounded(areas(evaluate.BINS).unionByName(areas(40)))
+
+
 @query
 def generalization_verdict(spark, folder):
     return rounded(evaluate.verdict(evaluate.confusion_cells(view(spark, folder, "scored"))))
@@ -694,11 +735,23 @@ def robust_ladder(spark, folder):
 
 @query
 def exact_size_ladder(spark, folder):
-    return experiments.exact_size_ladder(
-        gold(spark, folder), KEYS, [2500, 7500],
-        lambda n: models.stages(models.logistic_l2(n), scale="population", train_rows=n),
-        experiment="exact sizes", algorithm="Logistic Regression",
-    )
+    """Per source, all exact sizes that it has rows for."""
+    table = stage(gold(spark, folder), "gold")
+    return reduce(DataFrame.unionByName, (
+        experiments.exact_size_ladder(
+            split.scan_source(table, source), KEYS, EXACT_SIZES,
+            lambda n: models.stages(models.logistic_l2(n), scale="population", train_rows=n),
+            experiment=f"exact sizes, {source}", algorithm="Logistic Regression",
+        )
+        for source in SOURCES
+    ))
+
+
+@query
+def exact_size_counts(spark, folder):
+    """Rows per source, size and class that the ladder of exact sizes draws."""
+    counts = gold(spark, folder).groupBy(SOURCE, TARGET).agg(F.count(F.lit(1)).alias("n"))
+    return split.size_quotas(counts, SOURCE, TARGET, EXACT_SIZES)
 
 
 def _sample_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ MODELS = {
     "model_stages", "logreg_metrics", "logreg_l2_metrics", "forest_metrics", "ordered_forest",
     "strict_generalization", "weighted_forest_cross_dataset", "weighted_forest_learnable", "batch_scoring", "feature_importance",
     "feature_ablation", "scalability_ladder", "logistic_ladder", "robust_ladder", "exact_size_ladder",
+    "sample_detector", "replacement_ladder",
 }
 # Results that depend on an order, a draw or a cumulative sum.
 ORDER_SENSITIVE = [
