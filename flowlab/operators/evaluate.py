@@ -38,6 +38,11 @@ def confusion_cells(scored: DataFrame, label: str = "label", prediction: str = "
     return scored.agg(*(c.alias(n) for n, c in _cell_counts(label, prediction).items()))
 
 
+def confusion_by(scored: DataFrame, by: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """The cells of several models over the same rows."""
+    return scored.groupBy(by).agg(*(c.alias(n) for n, c in _cell_counts(label, prediction).items()))
+
+
 def add_metrics(cells: DataFrame) -> DataFrame:
     return cells.withColumns({
         "accuracy": metrics.accuracy(), **metrics.weighted_metrics(), **metrics.attack_metrics(),

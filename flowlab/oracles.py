@@ -249,6 +249,85 @@ BINNED = SCORED + (
     ", by_score AS (SELECT score, sum(1 - label)::DOUBLE AS n0, sum(label)::DOUBLE AS n1 FROM scored GROUP BY score) "
     + _binned(1000) + " UNION ALL " + _binned(40)
 )
+# --- trees: one block of common table expressions per level ----------------------------------------------------
+
+# As in queries.py: (drawn rows, features a node chooses from, features left out) per tree.
+BOOTSTRAP = [(True, 4, ())] * 3
+ABLATION = [(False, 10, ()), *((False, 10, (i,)) for i in range(10))]
+# The distribution function of the Poisson law with mean 1.
+POISSON = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]
+
+
+def _trees(specs: list, depth: int = 4, bins: int = 32) -> str:
+    """Ends with a relation `nodes`; `rows` are the prepared rows of both sides."""
+    def weight(i: int, draw: bool) -> str:
+        return " + ".join(f"({bucket(f'tree{i}')} >= {edge(p)})::INTEGER" for p in POISSON) if draw else "1"
+
+    def purity(side: str) -> str:
+        return f"({side}0::DOUBLE * {side}0 + {side}1::DOUBLE * {side}1) / ({side}0 + {side}1)"
+
+    counts = " UNION ALL ".join(f"SELECT {i} AS feature, {f} AS value, count(*) AS n FROM rows WHERE in_train GROUP BY value" for i, f in enumerate(FEATURES))
+    lists = ", ".join(f"coalesce(list(threshold ORDER BY threshold) FILTER (feature = {i}), []) AS t{i}" for i in range(len(FEATURES)))
+    numbers = ", ".join(f"len(list_filter(t{i}, lambda v: v < {f}))" for i, f in enumerate(FEATURES))
+    allowed = ", ".join(f"({i}, {f}, {c})" for i, (_, c, out) in enumerate(specs) for f in range(len(FEATURES)) if f not in out)
+    drawn = " UNION ALL ".join(f"SELECT y, bins, {i} AS tree, {weight(i, draw)} AS w FROM binned" for i, (draw, _, _) in enumerate(specs))
+    parts = [
+        PREPARED + ", rows AS MATERIALIZED (SELECT * EXCLUDE (y), (Fwd_Packets_Length_Total > 1500 * Total_Fwd_Packets)::INTEGER AS y FROM prepared)",
+        f"places AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY value) - n AS below, sum(n) OVER (PARTITION BY feature) AS total FROM ({counts}))",
+        f"limits AS MATERIALIZED (SELECT feature, value AS threshold, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS bin FROM places "
+        f"WHERE least((below + n) * {bins} // total, {bins - 1}) > below * {bins} // total AND below + n < total)",
+        f"lists AS MATERIALIZED (SELECT {lists} FROM limits)",
+        f"binned AS MATERIALIZED (SELECT {KEY_LIST}, y, [{numbers}] AS bins FROM rows, lists WHERE in_train)",
+        f"allowed AS (SELECT * FROM (VALUES {allowed}) v(tree, feature, choice))",
+        f"level0 AS MATERIALIZED (SELECT *, 1 AS node FROM ({drawn}) WHERE w > 0)",
+    ]
+    ends = ["SELECT tree, node, sum(w * (1 - y)) AS n0, sum(w * y) AS n1 FROM level0 GROUP BY tree, node"]
+    for d in range(depth):
+        parts += [
+            f"hist{d} AS (SELECT tree, node, feature, bins[feature + 1] AS bin, sum(w * (1 - y)) AS c0, sum(w * y) AS c1 "
+            f"FROM (SELECT *, unnest(range(0, {len(FEATURES)})) AS feature FROM level{d}) GROUP BY tree, node, feature, bin)",
+            f"sums{d} AS (SELECT *, n0 - l0 AS r0, n1 - l1 AS r1 FROM (SELECT tree, node, feature, bin, sum(c0) OVER (o ORDER BY bin) AS l0, "
+            f"sum(c1) OVER (o ORDER BY bin) AS l1, sum(c0) OVER o AS n0, sum(c1) OVER o AS n1 FROM hist{d} WINDOW o AS (PARTITION BY tree, node, feature)))",
+            f"chosen{d} AS (SELECT *, dense_rank() OVER (PARTITION BY tree, node ORDER BY md5(concat_ws('|', 'subset', tree, node, feature)), feature) AS place "
+            f"FROM sums{d} JOIN allowed USING (tree, feature))",
+            f"best{d} AS MATERIALIZED (SELECT tree, node, feature, bin, threshold, l0, l1, r0, r1, gain FROM (SELECT *, "
+            f"({purity('l')} + {purity('r')} - {purity('n')}) / (n0 + n1)::DOUBLE AS gain FROM chosen{d} WHERE place <= choice AND r0 + r1 > 0) "
+            f"JOIN limits USING (feature, bin) WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, feature, bin) = 1)",
+            f"level{d + 1} AS MATERIALIZED (SELECT y, bins, tree, w, 2 * node + (bins[feature + 1] > bin)::INTEGER AS node FROM level{d} JOIN best{d} USING (tree, node))",
+        ]
+        ends += [f"SELECT tree, 2 * node, l0, l1 FROM best{d}", f"SELECT tree, 2 * node + 1, r0, r1 FROM best{d}"]
+    splits = " UNION ALL ".join(f"SELECT tree, node, feature, threshold, gain FROM best{d}" for d in range(depth))
+    parts.append(
+        f"nodes AS MATERIALIZED (SELECT tree, node::INTEGER AS node, feature, threshold, CASE WHEN feature IS NOT NULL THEN 2 * node END::INTEGER AS \"left\", "
+        f"CASE WHEN feature IS NOT NULL THEN 2 * node + 1 END::INTEGER AS \"right\", n0::DOUBLE AS n0, n1::DOUBLE AS n1, coalesce(gain, 0) AS gain "
+        f"FROM ({' UNION ALL '.join(ends)}) LEFT JOIN ({splits}) USING (tree, node))"
+    )
+    return ", ".join(parts)
+
+
+def _scored(specs: list, depth: int = 4) -> str:
+    """As _trees, then `scored`: the score of each test row in each tree."""
+    values = f"[{', '.join(FEATURES)}]"
+    step = "SELECT s.* EXCLUDE (node), CASE WHEN n.feature IS NULL THEN s.node WHEN s.x[n.feature + 1] <= n.threshold THEN n.\"left\" ELSE n.\"right\" END AS node FROM {before} s JOIN nodes n USING (tree, node)"
+    parts = [_trees(specs, depth), f"walk0 AS (SELECT {KEY_LIST}, y, {values} AS x, tree, 1 AS node FROM rows, (SELECT DISTINCT tree FROM nodes) WHERE NOT in_train)"]
+    parts += [f"walk{d + 1} AS (" + step.format(before=f"walk{d}") + ")" for d in range(depth)]
+    parts.append(f"scored AS (SELECT s.*, n1 / (n0 + n1) AS score FROM walk{depth} s JOIN nodes USING (tree, node))")
+    return ", ".join(parts)
+
+
+FOREST_NODES = _trees(BOOTSTRAP) + ' SELECT tree, node, feature, round(threshold, 6) AS threshold, "left", "right", n0, n1, round(gain, 9) AS gain FROM nodes'
+FOREST_IMPORTANCE = _trees(BOOTSTRAP) + f""", shares AS (
+  SELECT feature, sum(share) AS share FROM (
+    SELECT feature, fall / sum(fall) OVER (PARTITION BY tree) AS share FROM (
+      SELECT tree, feature, sum(gain * (n0 + n1)) AS fall FROM nodes WHERE feature IS NOT NULL GROUP BY tree, feature
+    )) GROUP BY feature
+), names AS (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS name, unnest(range(0, {len(FEATURES)})) AS feature)
+SELECT name AS feature, round(coalesce(share, 0) / sum(share) OVER (), 6) AS importance FROM names LEFT JOIN shares USING (feature)"""
+FOREST_SCORES = _scored(BOOTSTRAP) + f" SELECT {KEY_LIST}, y AS label, round(avg(score), 6) AS score FROM scored GROUP BY {KEY_LIST}, y"
+TREE_ABLATION = _scored(ABLATION) + f""" SELECT (['none', {', '.join(f"'{f}'" for f in FEATURES)}])[tree + 1] AS removed_feature,
+  count(*) FILTER (y = 0 AND score <= 0.5) AS tn, count(*) FILTER (y = 0 AND score > 0.5) AS fp,
+  count(*) FILTER (y = 1 AND score <= 0.5) AS fn, count(*) FILTER (y = 1 AND score > 0.5) AS tp FROM scored GROUP BY tree"""
+
 EXACT_COUNTS = GOLD + """, counts AS (
   SELECT source_file, is_attack, count(*)::HUGEINT AS n, sum(count(*)) OVER (PARTITION BY source_file)::HUGEINT AS total
   FROM gold GROUP BY source_file, is_attack
@@ -301,6 +380,10 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "logreg_l2_coefficients": _coefficients(1, "stddev_pop"),
     "logreg_scores": LOGREG_SCORES,
     "binned_auc": BINNED,
+    "forest_nodes": FOREST_NODES,
+    "forest_importance": FOREST_IMPORTANCE,
+    "forest_scores": FOREST_SCORES,
+    "tree_ablation": TREE_ABLATION,
     "union_results": f"{RUNS} SELECT {RUN}, n_rows, round(f1, 6) AS f1, CASE WHEN algorithm = 'Random Forest' THEN round(roc_auc, 6) END AS roc_auc FROM run_metrics WHERE (algorithm = 'Logistic Regression' AND condition = 'Original') OR (algorithm = 'Random Forest' AND condition = 'Deduplicated')",
     "preview": f"{GOLD} SELECT {KEY_LIST}, Flow_Duration, round(Fwd_Packets_Length_Total, 6) AS Fwd_Packets_Length_Total, is_attack FROM gold ORDER BY {KEY_LIST}, gold.Fwd_Packets_Length_Total LIMIT 5",
     "table_profile": f"{FLOWS} SELECT count(*) AS n_rows, {len(NULL_COLUMNS)} AS n_columns FROM flows",

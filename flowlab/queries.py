@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlab.fixtures import view
 from flowlab.operators import (
-    analysis, clean, dedup, evaluate, features, models, newton, profile, results, split,
+    analysis, clean, dedup, evaluate, features, histogram_trees, models, newton, profile, results, split,
 )
 from flowlab.plans import experiments, medallion
 from flowlab.schemas import (
@@ -632,6 +632,50 @@ def feature_ablation(spark, folder):
     return experiments.ablation(labelled(spark, folder), ORDER)
 
 
+# A small bootstrap forest, and one tree of all features beside one without each of them.
+BOOTSTRAP = [histogram_trees.Tree(draw=True, choice=4)] * 3
+ABLATION = [histogram_trees.Tree(), *(histogram_trees.Tree(without=(i,)) for i in range(len(FEATURES)))]
+TREE_DEPTH = 4
+
+
+def _tree_sides(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """A target that follows from two features, so that splits differ: the given label follows from none."""
+    table = experiments.prepared(gold(spark, folder), KEYS)
+    learnable = (F.col("Fwd_Packets_Length_Total") > 1500 * F.col("Total_Fwd_Packets")).cast("int")
+    return split.hash_split(stage(table.withColumn(TARGET, learnable), "prepared"), KEYS)
+
+
+@query
+def forest_nodes(spark, folder):
+    nodes = histogram_trees.grow(_tree_sides(spark, folder)[0], KEYS, BOOTSTRAP, TREE_DEPTH)
+    return rounded(nodes, gain=9)
+
+
+@query
+def forest_importance(spark, folder):
+    nodes = histogram_trees.grow(_tree_sides(spark, folder)[0], KEYS, BOOTSTRAP, TREE_DEPTH)
+    return rounded(histogram_trees.importances(nodes))
+
+
+@query
+def forest_scores(spark, folder):
+    """Every row of the test side with the score of the forest grown on the other side."""
+    train, test = _tree_sides(spark, folder)
+    score = histogram_trees.forest_score(histogram_trees.grow(train, KEYS, BOOTSTRAP, TREE_DEPTH))
+    return rounded(test.select(*KEYS, F.col(TARGET).alias("label"), score.alias("score")))
+
+
+@query
+def tree_ablation(spark, folder):
+    """Confusion cells of a tree on all features and of one without each, all grown at once on rows binned once."""
+    train, test = _tree_sides(spark, folder)
+    scores = histogram_trees.scores(histogram_trees.grow(train, KEYS, ABLATION, TREE_DEPTH))
+    names = ["none", *FEATURES]
+    each = F.array(*(F.struct(F.lit(names[i]).alias("removed_feature"), (s > 0.5).cast("int").alias("prediction")) for i, s in scores.items()))
+    rows = test.select(F.col(TARGET).alias("label"), F.inline(each))
+    return evaluate.confusion_by(rows, "removed_feature")
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 
