@@ -16,6 +16,8 @@ from flowlab.operators.profile import melt
 from flowlab.schemas import FEATURES, TARGET
 
 HIGH_CORRELATION = 0.70
+# The rank of an approximate median is off by one part in so many at most.
+SKETCH_ACCURACY = 1000
 
 
 def value_counts(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
@@ -56,6 +58,35 @@ def _median(k: int) -> Column:
     return (at(F.floor((total + 1) / 2)) + at(F.ceil((total + 1) / 2))) / 2
 
 
+def approximate_medians(
+    df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """(feature, label, n, median) of the finite values of each class, from mergeable quantile sketches: one pass that
+    shuffles one row of sketches per task and class. The rank of a median is off by n / accuracy at most."""
+    y = F.col(target)
+    values = df.where(y.isin(0, 1)).select(y.alias("label"), *(finite(F.col(f).cast("double")).alias(f) for f in features))
+    per_class = values.groupBy("label").agg(*(
+        a for f in features for a in (F.count(f).alias(f"{f}.n"), F.percentile_approx(f, 0.5, accuracy).alias(f"{f}.median"))
+    ))
+    entries = {f: [F.col("label"), F.col(f"`{f}.n`"), F.col(f"`{f}.median`")] for f in features}
+    return melt(per_class, entries, ["feature", "label", "n", "median"])
+
+
+def rank_errors(df: DataFrame, medians: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+    """(feature, label, n, median, rank_error): how far the rank of each value is from the middle, in rows; one aggregate over
+    the table. `medians` has one row per feature and class."""
+    at = {(r["feature"], r["label"]): r["median"] for r in medians.collect()}
+    y = F.col(target)
+    entries = []
+    for (f, k), m in at.items():
+        x, m = finite(F.col(f).cast("double")), F.lit(m)
+        below, upto = F.count_if((y == k) & (x < m)), F.count_if((y == k) & (x <= m))
+        middle = F.count_if((y == k) & x.isNotNull()) / 2
+        error = F.greatest(F.lit(0.0), below - middle, middle - upto)
+        entries.append(F.struct(F.lit(f).alias("feature"), F.lit(k).alias("label"), error.alias("rank_error")))
+    return medians.join(df.agg(F.array(*entries).alias("e")).select(F.inline("e")), ["feature", "label"])
+
+
 def rank_statistics(ranked: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Median per class, AUC and separability per feature, from one pass over ranked values."""
     auc = auc_of(*(F.col(c) for c in ("n0", "n1", "n0_before", "n0_total", "n1_total")))
@@ -128,21 +159,31 @@ def correlation(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Pearson r of every pair i < j on the rows complete in all features: (feature_1, feature_2,
     correlation). A constant feature has no correlation (null).
 
-    One pass that merges central moments and shuffles one row per task.
+    Two passes that shuffle one row per task: means and extremes, then plain sums of centred
+    products. df is scanned twice.
     """
     rows = clean.drop_incomplete(clean.inf_to_null(df.select(*features), features), features)
-    r = {(a, b): F.covar_samp(a, b) for a, b in combinations(features, 2)}
-    spread = {f: F.stddev_samp(f) for f in features}
+    fit = rows.agg(*(
+        F.struct(F.avg(f).alias("mean"), (F.min(f) < F.max(f)).alias("varies")).alias(f) for f in features
+    )).first()
     # Rounding of the mean leaves a constant a deviation of about 1e-16 of its value.
-    varies = {f: F.min(f) < F.max(f) for f in features}
+    varies = {f: bool(fit[f]["varies"]) for f in features}
+    centred = rows.select(*((F.col(f) - F.lit(fit[f]["mean"] or 0.0)).alias(f) for f in features))
+    sums = centred.agg(
+        *(F.sum(F.col(f) * F.col(f)).alias(f"{i}_{i}") for i, f in enumerate(features)),
+        *(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for (i, a), (j, b) in combinations(enumerate(features), 2)),
+    )
     entries = [
         F.struct(
             F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-            F.when(varies[a] & varies[b], F.try_divide(c, spread[a] * spread[b])).alias("correlation"),
+            F.when(
+                F.lit(varies[a] and varies[b]),
+                F.try_divide(F.col(f"{i}_{j}"), F.sqrt(F.col(f"{i}_{i}")) * F.sqrt(F.col(f"{j}_{j}"))),
+            ).alias("correlation"),
         )
-        for (a, b), c in r.items()
+        for (i, a), (j, b) in combinations(enumerate(features), 2)
     ]
-    return rows.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))
+    return sums.select(F.inline(F.array(*entries)))
 
 
 def correlation_matrix(pairs: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:

@@ -16,6 +16,9 @@ from flowlab.operators.ordering import COPIES, counted, repeat_rows
 from flowlab.schemas import FEATURES, TARGET
 
 
+SKETCH_BITS = 16
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
@@ -45,6 +48,22 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_sketches(df: DataFrame, by: str) -> DataFrame:
+    """(by, total_rows, sketch): a mergeable sketch of the distinct rows of each group, without `by` itself: one row per
+    task and group is shuffled, never the rows. Sketches can be stored and merged later."""
+    row = F.xxhash64(*(F.struct(F.col(c).isNull(), c) for c in df.columns if c != by))
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("total_rows"), F.hll_sketch_agg(row, SKETCH_BITS).alias("sketch"))
+
+
+def approximate_duplicates(sketches: DataFrame) -> DataFrame:
+    """total_rows, unique_rows and duplicate_rate over all groups, from their merged sketches. The standard error of
+    unique_rows is 1.04 / sqrt(2^SKETCH_BITS), about 0.4 %."""
+    merged = sketches.agg(F.sum("total_rows").alias("total_rows"), F.hll_union_agg("sketch").alias("_all"))
+    unique = F.least(F.hll_sketch_estimate("_all"), F.col("total_rows"))
+    rate = F.coalesce(F.try_divide(100.0 * (F.col("total_rows") - F.col("unique_rows")), F.col("total_rows")), F.lit(0.0))
+    return merged.withColumn("unique_rows", unique).select("total_rows", "unique_rows", rate.alias("duplicate_rate"))
+
+
 def _tally(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each distinct row with its copies on either side: one shuffle, no join."""
     sides = left.select("*", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(

@@ -328,6 +328,22 @@ TREE_ABLATION = _scored(ABLATION) + f""" SELECT (['none', {', '.join(f"'{f}'" fo
   count(*) FILTER (y = 0 AND score <= 0.5) AS tn, count(*) FILTER (y = 0 AND score > 0.5) AS fp,
   count(*) FILTER (y = 1 AND score <= 0.5) AS fn, count(*) FILTER (y = 1 AND score > 0.5) AS tp FROM scored GROUP BY tree"""
 
+WITH_TOTAL = [*FEATURES, "Packets_Length_Total"]
+STRONG = COMPLETE + ", wider AS (SELECT *, Fwd_Packets_Length_Total + Bwd_Packets_Length_Total AS Packets_Length_Total FROM complete), pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {_correlation(a, b)} AS correlation FROM wider" for a, b in combinations(WITH_TOTAL, 2)
+) + ") SELECT feature_1, feature_2, round(correlation, 6) AS correlation, count(*) OVER () AS n_pairs, row_number() OVER (ORDER BY abs(correlation) DESC, feature_1, feature_2) = 1 AS is_strongest FROM pairs WHERE abs(correlation) >= 0.7"
+
+# What each column of the sample's text holds.
+CSV_TYPES = {
+    "timestamp": "timestamp_ntz", "src_ip": "string", "dst_ip": "string", "src_port": "string", "dst_port": "bigint",
+    "protocol": "string", "packet_count": "bigint", "bytes": "double", "label": "string",
+}
+TYPED = SAMPLE + """ SELECT label, count(*) AS n_rows, CAST(sum(TRY_CAST(src_port AS BIGINT)) AS BIGINT) AS src_port, CAST(sum(CAST(packet_count AS BIGINT)) AS BIGINT) AS packets,
+round(sum(CAST(bytes AS DOUBLE)), 2) AS bytes, CAST(CAST(max(CAST(timestamp AS TIMESTAMP)) AS DATE) AS VARCHAR) AS last_day FROM sample_flows GROUP BY label"""
+MERGED = """SELECT true AS is_order, count(*) AS n_rows, CAST(sum(o_custkey) AS BIGINT) AS sum_custkey, count(*) AS n_amounts,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, 0::BIGINT AS n_segments FROM orders
+UNION ALL SELECT false, count(*), CAST(sum(c_custkey) AS BIGINT), 0, NULL, count(c_mktsegment) FROM customer"""
+
 EXACT_COUNTS = GOLD + """, counts AS (
   SELECT source_file, is_attack, count(*)::HUGEINT AS n, sum(count(*)) OVER (PARTITION BY source_file)::HUGEINT AS total
   FROM gold GROUP BY source_file, is_attack
@@ -380,6 +396,14 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "logreg_l2_coefficients": _coefficients(1, "stddev_pop"),
     "logreg_scores": LOGREG_SCORES,
     "binned_auc": BINNED,
+    "strong_pairs": STRONG,
+    "csv_types": " UNION ALL ".join(
+        f"SELECT '{t}' AS file, '{c}' AS column_name, '{'bigint' if (t, c) == ('ports', 'src_port') else k}' AS column_type" for t in ("sample", "ports") for c, k in CSV_TYPES.items()
+    ),
+    "csv_typed_scan": TYPED,
+    "bronze_ingest_merged": MERGED,
+    "duplicate_sketch": f"{FLOWS} SELECT count(*) AS total_rows, true AS within_bound FROM flows",
+    "approximate_medians": f"{LONG} SELECT feature, is_attack AS label, count(*) AS n_rows, true AS within_bound FROM long GROUP BY feature, is_attack",
     "forest_nodes": FOREST_NODES,
     "forest_importance": FOREST_IMPORTANCE,
     "forest_scores": FOREST_SCORES,

@@ -101,6 +101,32 @@ def csv_scan(spark, folder):
     return _sample_text(tables.read_csv(spark, path, SAMPLE_RAW))
 
 
+@query
+def csv_types(spark, folder):
+    """The inferred type of each column of the sample's CSV, and of the numeric columns once the odd port is null."""
+    path, clean_path = new_folder(spark, "csv"), new_folder(spark, "csv")
+    sample = view(spark, folder, "sample_flows")
+    tables.write_csv(sample, path)
+    tables.write_csv(sample.withColumn("src_port", F.when(F.col("src_port") != "n/a", F.col("src_port"))), clean_path)
+    kinds = [
+        (table, f.name, f.dataType.simpleString())
+        for table, at in (("sample", path), ("ports", clean_path)) for f in tables.read_csv_typed(spark, at).schema
+    ]
+    return spark.createDataFrame(kinds, "file string, column_name string, column_type string")
+
+
+@query
+def csv_typed_scan(spark, folder):
+    path = new_folder(spark, "csv")
+    sample = view(spark, folder, "sample_flows")
+    tables.write_csv(sample.withColumn("src_port", F.when(F.col("src_port") != "n/a", F.col("src_port"))), path)
+    rows = tables.read_csv_typed(spark, path)
+    return rounded(rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("src_port").alias("src_port"), F.sum("packet_count").alias("packets"),
+        F.sum("bytes").alias("bytes"), F.max("timestamp").cast("date").cast("string").alias("last_day"),
+    ), 2)
+
+
 @query
 def bronze_csv_to_parquet(spark, folder):
     raw, bronze = new_folder(spark, "csv"), new_folder(spark, "bronze")
@@ -117,6 +143,21 @@ def bronze_ingest(spark, folder):
     )
 
 
+@query
+def bronze_ingest_merged(spark, folder):
+    """Two files of differing columns as one bronze table: orders, and customers with their own columns."""
+    raw, bronze = new_folder(spark, "raw"), new_folder(spark, "bronze")
+    orders = view(spark, folder, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount"))
+    customers = view(spark, folder, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"))
+    orders.write.parquet(f"{raw}/orders")
+    customers.write.parquet(f"{raw}/customer")
+    rows = tables.ingest(spark, f"{raw}/*", bronze)
+    return rounded(rows.groupBy(F.col("segment").isNull().alias("is_order")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("custkey").alias("sum_custkey"), F.count("amount").alias("n_amounts"),
+        F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"), F.count("segment").alias("n_segments"),
+    ))
+
+
 @query
 def scan_by_source(spark, folder):
     path = new_folder(spark, "flows")
@@ -308,6 +349,18 @@ def except_all(spark, folder):
     return shown(dedup.except_all(*_sides(spark, folder)))
 
 
+@query
+def duplicate_sketch(spark, folder):
+    """Row counts, and whether the sketched number of distinct rows is within 2 % of the exact one. Copies share
+    their source, so sketches per source add up."""
+    flows = features.add_target(clean.normalise_label(view(spark, folder, "flows")))
+    rows = flows.select(*FEATURES, TARGET, SOURCE)
+    near = dedup.approximate_duplicates(dedup.distinct_sketches(rows, SOURCE))
+    exact = dedup.duplicate_report(rows.drop(SOURCE)).first()
+    apart = F.abs(F.col("unique_rows") - F.lit(exact["unique_rows"])) <= 0.02 * F.lit(exact["unique_rows"])
+    return near.select("total_rows", apart.alias("within_bound"))
+
+
 @query
 def union_results(spark, folder):
     runs = view(spark, folder, "run_metrics")
@@ -377,6 +430,15 @@ def class_stats(spark, folder):
     return rounded(table.drop("auc", "separability_auc", "effect_size", "effect_band"), 4)
 
 
+@query
+def approximate_medians(spark, folder):
+    """Rows per feature and class, and whether the sketched median's rank is within the stated bound."""
+    table = stage(gold(spark, folder).select(*FEATURES, TARGET), "gold")
+    checked = analysis.rank_errors(table, analysis.approximate_medians(table))
+    bound = F.ceil(F.col("n") / analysis.SKETCH_ACCURACY) + 1
+    return checked.select("feature", "label", F.col("n").alias("n_rows"), (F.col("rank_error") <= bound).alias("within_bound"))
+
+
 @query
 def cohens_d(spark, folder):
     moments = analysis.class_moments(gold(spark, folder))
@@ -397,13 +459,25 @@ def separability_ranking(spark, folder):
 
 @query
 def correlation_matrix(spark, folder):
-    return rounded(analysis.correlation_matrix(analysis.correlation(gold(spark, folder))))
+    return rounded(analysis.correlation_matrix(analysis.correlation(_features(spark, folder))))
+
+
+def _features(spark, folder) -> DataFrame:
+    return stage(gold(spark, folder).select(*FEATURES), "features")
+
+
+@query
+def strong_pairs(spark, folder):
+    """Pairs from 0.70 on, with a further feature that follows from two others."""
+    total = (F.col("Fwd_Packets_Length_Total") + F.col("Bwd_Packets_Length_Total")).alias("Packets_Length_Total")
+    table = _features(spark, folder).select("*", total)
+    return rounded(analysis.high_correlations(analysis.correlation(table, [*FEATURES, "Packets_Length_Total"])))
 
 
 @query
 def high_correlation_pairs(spark, folder):
     # No pair of these tables is strong: all pairs are listed.
-    return rounded(analysis.high_correlations(analysis.correlation(gold(spark, folder)), threshold=0.0))
+    return rounded(analysis.high_correlations(analysis.correlation(_features(spark, folder)), threshold=0.0))
 
 
 @query

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from flowlab.schemas import SOURCE
 
 PREFERRED = "*CICFlowMeter*.parquet"
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?|NaN)$"
+TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+)?$"
+KINDS = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -18,6 +22,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def infer_types(df: DataFrame) -> T.StructType:
+    """The narrowest type that holds every value of each text column: bigint, double, boolean, timestamp or string. One
+    aggregate over all rows, so a late value widens the type. Null and empty texts fit any type; a
+    column without values is a string. Columns of other types are kept."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    filled = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in texts}
+    checks = {
+        "long": lambda x: x.rlike(INTEGER) & x.try_cast("bigint").isNotNull(),
+        "double": lambda x: x.rlike(NUMBER),
+        "boolean": lambda x: F.lower(x).isin("true", "false"),
+        "timestamp_ntz": lambda x: x.rlike(TIMESTAMP) & x.try_cast("timestamp_ntz").isNotNull(),
+    }
+    row = df.agg(*(
+        F.struct(F.count(x).alias("n"), *(F.count_if(check(x)).alias(t) for t, check in checks.items())).alias(f"c{i}")
+        for i, x in enumerate(filled.values())
+    )).first() if texts else {}
+    fields = {f.name: f for f in df.schema}
+    for i, c in enumerate(texts):
+        counts = row[f"c{i}"]
+        fits = [t for t in checks if counts["n"] and counts[t] == counts["n"]]
+        fields[c] = T.StructField(c, KINDS[fits[0]] if fits else T.StringType())
+    return T.StructType(list(fields.values()))
+
+
+def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns cast to their inferred types; an empty text of a typed column is null."""
+    return df.select(*(
+        F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) or not isinstance(df.schema[f.name].dataType, T.StringType)
+        else F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).cast(f.dataType).alias(f.name)
+        for f in schema
+    ))
+
+
+def read_csv_typed(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and types inferred from all rows."""
+    text = spark.read.option("header", True).csv(path)
+    return typed(text, infer_types(text))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; white space at the edges of a value is kept."""
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
