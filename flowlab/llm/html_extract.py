@@ -51,6 +51,7 @@ CLOSED_BY = {
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
+CLOSES = {name: [t for t, by in CLOSED_BY.items() if name in by] for by in CLOSED_BY.values() for name in by}
 BAD_TOKENS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs sidebar side aside rail widget footer foot bottom header masthead topbar toolbar "
@@ -101,6 +102,10 @@ def parsed(source: str) -> Page:
     page cut short closes where it ends."""
     elements, pieces, block = [Element("html", -1, 0, [])], [], 0
     stack, at, endless = [0], 0, set()
+    # Behind the last > no tag ends, so nothing is searched there again and again.
+    last = source.rfind(">") + 1
+    # Open elements by tag: a deep stack is searched only for what is on it.
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw and (not raw.isspace() or pieces):
@@ -110,22 +115,28 @@ def parsed(source: str) -> Page:
         nonlocal block
         if any(elements[i].tag in BLOCK for i in stack[position:]):
             block += 1
+        for i in stack[position:]:
+            opened[elements[i].tag] -= 1
         del stack[position:]
 
     while at < len(source):
-        m = TAG.search(source, at)
+        m = TAG.search(source, at, last) if at < last else None
         if not m:
-            # A tag cut off by the end of the page is markup.
-            text(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", source[at:]))
+            # A comment or tag cut off by the end of the page is markup.
+            tail = source[at:].partition("<!--")[0]
+            cut = re.search(r"<[a-zA-Z/!?]", tail[max(0, last - at) :])
+            text(tail[: max(0, last - at) + cut.start()] if cut else tail)
             break
         text(source[at : m.start()])
         at = m.end()
+        if m.group().startswith("<!--") and not m.group().endswith("-->"):
+            break
         slash, name, rest = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
         if name is None:
             continue
         name = name.lower()
         if slash:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if elements[stack[i]].tag == name:
                     close(i)
                     break
@@ -138,7 +149,7 @@ def parsed(source: str) -> Page:
             elements[stack[-1]].tags += 1
             if name in endless or name == "svg" and rest.endswith("/") and not UNQUOTED_END.search(rest):
                 continue
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at, last)
             if end:
                 at = end.end()
             elif name in RAW_TEXT:
@@ -146,7 +157,7 @@ def parsed(source: str) -> Page:
             else:
                 endless.add(name)
             continue
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in CLOSES.get(name, ())) else ():
             tag = elements[stack[i]].tag
             if name in CLOSED_BY.get(tag, ()):
                 close(i)
@@ -167,6 +178,7 @@ def parsed(source: str) -> Page:
         elements[-1].in_link = name == "a" or elements[parent].in_link
         elements[parent].children.append(len(elements) - 1)
         stack.append(len(elements) - 1)
+        opened[name] += 1
     return Page(elements, pieces)
 
 

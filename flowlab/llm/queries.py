@@ -62,9 +62,12 @@ def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def op3_association_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    labels = table(spark, folder, "labels")
-    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), bad)
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    # Labels belong to documents; a page shows the document whose number ends its path.
+    shown = F.regexp_extract(url_filter.path("url"), "([0-9]{1,18})[^0-9]*$", 1).try_cast("bigint")
+    labels = table(spark, folder, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    bad = pages.select("page_id", shown.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
+    return url_filter.judged(pages, bad)
 
 
 @registered

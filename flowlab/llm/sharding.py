@@ -21,7 +21,7 @@ from flowlab.sources.staging import stage
 SLOTS = 4096
 # A slot is cut where it passes this share of a shard's fair weight.
 PART_SHARE = 1 / 64
-MAP_SCHEMA = "version int, virtual_slot int, part bigint, shard int, n_rows bigint, n_bytes bigint, first_slot bigint"
+MAP_SCHEMA = "version int, virtual_slot int, part bigint, shard int, n_rows bigint, n_bytes bigint, first_slot bigint, part_bytes bigint"
 
 
 def record_size(text: str | Column) -> Column:
@@ -94,17 +94,40 @@ def grow(parts: list[tuple[int, int, int, int]], held: list[int], shards: int) -
 
 
 def map_table(
-    spark: SparkSession, parts: list[tuple[int, int, int, int]], shards: list[int], version: int
+    spark: SparkSession, parts: list[tuple[int, int, int, int]], shards: list[int], version: int, span: int
 ) -> DataFrame:
-    """One row per part, with the number of records before it in its shard."""
+    """One row per part, with the number of records before it in its shard and the bytes a part may span."""
     first: dict[int, int] = {}
     rows = []
     for (slot, part, n_rows, n_bytes), shard in zip(parts, shards):
-        rows.append((version, slot, part, shard, n_rows, n_bytes, first.get(shard, 0)))
+        rows.append((version, slot, part, shard, n_rows, n_bytes, first.get(shard, 0), span))
         first[shard] = first.get(shard, 0) + n_rows
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
+def newest(spark: SparkSession, map_path: str) -> list:
+    """The rows of the newest stored version, none if nothing is stored there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(map_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    stored = spark.read.schema(MAP_SCHEMA).parquet(map_path)
+    return sorted(stored.where(F.col("version") == stored.agg(F.max("version")).first()[0]).collect(), key=lambda r: (r.virtual_slot, r.part))
+
+
+def place_new(parts: list[tuple[int, int, int, int]], held: dict[tuple[int, int], int], shards: int) -> list[int]:
+    """Parts that the map holds stay where they are; others go to the lightest shard, the heaviest first."""
+    loads = [0] * max([shards, *(s + 1 for s in held.values())])
+    out = [held.get(p[:2], -1) for p in parts]
+    for p, s in zip(parts, out):
+        loads[s] += p[3] if s >= 0 else 0
+    heap = [(w, s) for s, w in enumerate(loads)]
+    heapq.heapify(heap)
+    for i in sorted((i for i, s in enumerate(out) if s < 0), key=lambda i: (-parts[i][3], parts[i][:2])):
+        weight, out[i] = heapq.heappop(heap)
+        heapq.heappush(heap, (weight + parts[i][3], out[i]))
+    return out
+
+
 def assign(
     df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, slots: int = SLOTS,
     map_path: str | None = None,
@@ -112,8 +135,10 @@ def assign(
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
     `law` is `bytes`. `slot` numbers the records of a shard from 0 without gaps. `grown_shard` is
-    null: it belongs to another law. The map is written to `map_path` (a staged table if unset) as
-    version 1. Null keys and texts are records like others; repeated rows get slots of their own;
+    null: it belongs to another law. Without a map at `map_path`, the map is written there (to a staged
+    table if unset) as version 1. With one, its newest version places the records: parts that it
+    holds stay in their shards, also after `rebalance`, new ones go where least is, and the counts
+    are stored as the next version. Null keys and texts are records like others; repeated rows get slots of their own;
     an empty table gives an empty one. Columns of df other than key and text do not matter.
     """
     spark = df.sparkSession
@@ -124,16 +149,18 @@ def assign(
     }).select("doc_id", "size", "text_crc32", "virtual_slot", "_row", "_at")
     rows = stage(rows, "shard-records")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    rows = rows.withColumn("part", F.expr(f"_at div {part_bytes(total, shards)}"))
+    stored = newest(spark, map_path) if map_path else []
+    span = stored[0].part_bytes if stored else part_bytes(total, shards)
+    rows = rows.withColumn("part", F.expr(f"_at div {span}"))
     # Bounded by the number of slots and parts, whatever the number of records.
     parts = sorted(tuple(r) for r in weighed(rows).collect())
-    table = map_table(spark, parts, place(parts, shards), version=1)
-    path = map_path
-    if path:
-        table.write.mode("overwrite").parquet(path)
-        table = spark.read.schema(MAP_SCHEMA).parquet(path)
+    if stored:
+        placed = place_new(parts, {(r.virtual_slot, r.part): r.shard for r in stored}, shards)
     else:
-        table = stage(table, "shard-map")
+        placed = place(parts, shards)
+    table = stage(map_table(spark, parts, placed, stored[0].version + 1 if stored else 1, span), "shard-map")
+    if map_path:
+        table.write.mode("append").parquet(map_path)
     # A part's first row in its slot: parts of a slot follow each other.
     ahead = W.partitionBy("virtual_slot").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     table = table.withColumn("_start", F.coalesce(F.sum("n_rows").over(ahead), F.lit(0)))
@@ -149,13 +176,9 @@ def assign(
 def rebalance(spark: SparkSession, map_path: str, shards: int) -> DataFrame:
     """Edits the stored map for `shards` shards and adds it as the next version: parts move only
     from old shards to new ones. No record is read or hashed again."""
-    stored = spark.read.schema(MAP_SCHEMA).parquet(map_path)
-    newest = stored.agg(F.max("version")).first()[0]
-    held = sorted(
-        (r.virtual_slot, r.part, r.n_rows, r.n_bytes, r.shard)
-        for r in stored.where(F.col("version") == newest).collect()
-    )
-    parts = [h[:4] for h in held]
-    edited = map_table(spark, parts, grow(parts, [h[4] for h in held], shards), newest + 1)
+    stored = newest(spark, map_path)
+    parts = [(r.virtual_slot, r.part, r.n_rows, r.n_bytes) for r in stored]
+    shards_now = grow(parts, [r.shard for r in stored], shards)
+    edited = map_table(spark, parts, shards_now, stored[0].version + 1, stored[0].part_bytes)
     edited.write.mode("append").parquet(map_path)
     return edited

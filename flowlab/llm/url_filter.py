@@ -2,10 +2,11 @@
 
 A host rule fits its host, all subdomains and every path that starts with its path; the longest
 fitting rule decides. Where none fits, rules mined by FP-growth decide: URLs are sets of tokens
-(host labels, path words, query keys), the label is one more token, and a combination of tokens
-that is frequent enough and leads to the bad label often enough blocks. Mined rules are matched
-through an inverted index: each rule is filed under its rarest token, and a URL looks up its own
-tokens only. All steps are DataFrame operations.
+(host labels, path words, query keys), and a combination of tokens that stands in enough bad URLs
+and among all labelled URLs that hold it leads to the bad label often enough blocks. FP-growth
+runs over the bad URLs, where the support of a rule is counted; its confidence needs all labelled
+URLs. Rules are matched through an inverted index: each is filed under its rarest token, and a URL
+looks up its own tokens only. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.llm.common import numbered_copies
 from flowlab.sources.staging import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BAD = "label=bad"
-MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-# Rules on fewer labelled URLs than this say nothing.
+# A rule needs so many bad URLs, at every size of the table.
 MIN_ROWS = 10
 
 
@@ -83,29 +83,42 @@ def tokens(url: str | Column) -> Column:
     return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
-def mined_rules(
-    urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """(tokens, confidence, n_rows) of the combinations that lead to the bad label, from (url, bad).
+def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of `urls` (with _tokens) beside each of the `rules` (with tokens) whose tokens they all hold. A rule is looked up
+    under the rarest of its tokens."""
+    often = urls.select(F.explode("_tokens").alias("token")).groupBy("token").count()
+    filed = rules.select("*", F.explode("tokens").alias("token")).join(often, "token")
+    filed = filed.groupBy(*rules.columns).agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+    looked = urls.select("*", F.explode("_tokens").alias("token")).join(filed, "token").drop("token")
+    return looked.where(F.size(F.array_except("tokens", "_tokens")) == 0)
+
 
-    Every labelled URL counts. An empty input gives no rules.
+def mined_rules(urls: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(tokens, confidence, n_rows) of the combinations that stand in `min_rows` bad URLs or more and lead to the bad label
+    with the least confidence or more; n_rows are all labelled URLs that hold them. From (url, bad).
+
+    Every labelled URL counts. An input without bad URLs gives no rules.
     """
-    items = F.concat(tokens("url"), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    baskets = stage(urls.where("bad is not null").select(items.alias("items")).where(F.size("items") > 0), "baskets")
-    n = baskets.count()
-    empty = "tokens array<string>, confidence double, n_rows bigint"
-    if n == 0:
-        return baskets.sparkSession.createDataFrame([], empty)
-    support = max(min_support, min(1.0, min_rows / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rows = F.round(F.col("support") / F.col("confidence") * n).cast("bigint")
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", rows.alias("n_rows"))
+    rows = urls.where("bad is not null").groupBy(tokens("url").alias("_tokens")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad")
+    )
+    rows = stage(rows.where(F.size("_tokens") > 0), "baskets")
+    # One basket per bad URL, as the miner counts baskets.
+    bad = numbered_copies(rows.where("n_bad > 0").select(F.col("_tokens").alias("items"), "n_bad"), "n_bad", "_copy").select("items")
+    n = bad.count()
+    if n < min_rows:
+        return rows.sparkSession.createDataFrame([], "tokens array<string>, confidence double, n_rows bigint")
+    # Half a basket less, so that rounding does not ask for one more.
+    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n).fit(bad)
+    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("tokens")), "frequent")
+    counted = fitting(rows, sets).groupBy("tokens").agg(F.sum("n").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+    confidence = F.col("n_bad") / F.col("n_rows")
+    return counted.select("tokens", confidence.alias("confidence"), "n_rows").where(F.col("confidence") >= min_confidence)
 
 
 def judged(
     pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[HostRule] = HOST_RULES,
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined_rule.
 
@@ -116,17 +129,12 @@ def judged(
     narrow = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
     marks = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     labelled = narrow.join(marks, "page_id").select("url", F.col("bad").cast("boolean").alias("bad"))
-    mined = stage(mined_rules(labelled, min_support, min_confidence), "url-rules")
+    mined = stage(mined_rules(labelled, min_confidence, min_rows), "url-rules")
     # Rows of the same URL are judged once.
     urls = narrow.where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
     urls = urls.select("url", tokens("url").alias("_tokens"))
-    often = urls.select(F.explode("_tokens").alias("token")).groupBy("token").count()
-    filed = mined.select("*", F.explode("tokens").alias("token")).join(often, "token")
-    filed = filed.groupBy("tokens", "confidence", "n_rows").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    looked = urls.select("url", "_tokens", F.explode("_tokens").alias("token")).join(filed, "token")
-    fitting = looked.where(F.size(F.array_except("tokens", "_tokens")) == 0)
     named = F.struct("confidence", "n_rows", F.array_join("tokens", " ").alias("name"))
-    best = fitting.groupBy("url").agg(F.max(named)["name"].alias("mined_rule"))
+    best = fitting(urls, mined).groupBy("url").agg(F.max(named)["name"].alias("mined_rule"))
     out = narrow.withColumns({"host": host("url"), "path": path("url")})
     out = out.withColumn("_fixed", host_rule(rules, F.col("host"), F.col("path"))).join(best, "url", "left")
     verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("mined_rule").isNotNull(), F.lit("block")), F.lit("allow"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from flowlab.llm import html_extract
 
 
@@ -31,3 +35,18 @@ def test_features_of_many_siblings():
             assert rows[c, names.index("place")] == n / len(siblings)
             assert rows[c, names.index("alike_siblings")] == same / len(siblings)
     assert max(len(e.children) for e in page.elements) >= 200 or len(page.elements) > 200
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "<", "</svg", "<svg ", "<!-- ", "<p x='", "a<b ", "</", "<p> <a ", "<b>", "<b></i>"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    html_extract.parsed("<p>Some text.</p>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 20
+
+
+def test_what_the_end_of_a_page_cuts_off_is_markup():
+    for page, words in (
+        ("<p>One</p>two <a href=x", "One two"), ("<p>One</p>two <!-- three > four", "One two"), ("one < two", "one < two"),
+        ("<p>One</p>a > b <!", "One a > b"), ("one <!-- two --> three", "one  three"), ("a > b < c", "a > b < c"),
+    ):
+        assert "".join(t if i == 0 or b == html_extract.parsed(page).pieces[i - 1][1] else " " + t for i, (_, b, t) in enumerate(html_extract.parsed(page).pieces)).strip() == words

@@ -279,7 +279,7 @@ def test_sharding(spark, docs, empty, rows, tmp_path):
         assert own == list(range(len(own)))
     assert sharding.assign(empty).count() == 0
     hot = spark.createDataFrame([(1, "same")] * 3000 + [(i, "t" * (i % 50)) for i in range(3000)], "doc_id int, text string")
-    load = Counter()
+    load, path = Counter(), str(tmp_path / "hot-map")
     for r in sharding.assign(hot, shards=4, map_path=path).collect():
         load[r.shard] += r["size"]
     assert max(load.values()) <= 1.02 * min(load.values())
@@ -290,6 +290,15 @@ def test_sharding(spark, docs, empty, rows, tmp_path):
     for s, n in after.values():
         load[s] += n
     assert max(load.values()) <= 1.1 * min(load.values())
+    # The edited map places the records, and those that come later.
+    more = hot.unionByName(spark.createDataFrame([(9000 + i, "new " * 9) for i in range(50)], "doc_id int, text string"))
+    for table, records in ((hot, 6000), (more, 6050)):
+        got = sharding.assign(table, shards=4, map_path=path).collect()
+        assert len(got) == records and {r.shard for r in got} == set(range(5))
+        assert all(after[r.virtual_slot, r.part][0] == r.shard for r in got if (r.virtual_slot, r.part) in after)
+        for shard in range(5):
+            own = sorted(r.slot for r in got if r.shard == shard)
+            assert own == list(range(len(own)))
 
 
 def test_html(spark):
