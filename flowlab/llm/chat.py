@@ -7,11 +7,11 @@ nodes whose stretch [start, subtree_end) holds its own place, which are its ance
 stands before it in its own node. Position ids run along the path: a node's first token has the
 length of the path above it.
 
-The layout comes from ranks, not from walking trees: conversations are ranked by their paths, a
-node belongs to the first conversation through it, and depth-first order is (first rank, depth).
-Ranks and places are running sums over range-partitioned slices, so a first turn that a third of
-all conversations share is no single task. One task reads the turns of one conversation in order,
-as a stream; what it holds at a time is 8 bytes per turn, never the texts.
+The layout comes from sums, not from walking trees and not from whole paths: what a subtree holds is
+summed from the conversations through its top, and a node starts after its path and the earlier
+siblings along it. All sums run over range-partitioned slices, so a first turn that a third of all
+conversations share, or a conversation without end, is no single task of them. Hashes along a path
+are chained by one task per conversation, which reads its turns in order, as a stream.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ CONTROLS = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]")
 # A backslash is put before what would let a control string stand, and before each backslash.
 _SPLIT = r"\\|(?<=<)(?=\||/?s>)|(?<=\[)(?=/?INST\])"
 
+# Groups of conversations among which a shared node is looked up.
+SPREAD = 32
+
 
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, _SPLIT, r"\\$0")
@@ -56,9 +59,14 @@ def turns(df: DataFrame) -> DataFrame:
     )
 
 
+def _named() -> Column:
+    """The conversation as text; null is a conversation of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
 def _chained(rows: DataFrame) -> DataFrame:
     """(conv_id, depth, node, parent, above, chars, last): each turn's node, a hash of the path to it."""
-    named = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv")
+    named = _named().alias("conv")
     keys = [F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("second"), "body").alias("h2")]
     narrow = rows.select(named, "conv_id", "turn", *keys, F.length("body").cast("bigint").alias("chars"))
     order = ["conv", "turn", "h1", "h2"]
@@ -85,19 +93,42 @@ def _chained(rows: DataFrame) -> DataFrame:
     return stage(narrow.mapInArrow(chain, schema), "chat-turns")
 
 
-def _ranked(chained: DataFrame) -> DataFrame:
-    """(path, rank): distinct paths of whole conversations, from 0 in path order."""
-    # Eight bytes per turn suffice to order paths: equal starts stay together, whatever collides.
-    short = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("bigint")
-    steps = chained.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", short.alias("s")))).alias("p"))
-    paths = steps.select("conv_id", F.col("p")["s"].alias("path"))
-    paths = stage(paths, "chat-paths")
-    distinct = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1).cast("bigint"))
-    ranks = running_totals(distinct, [], ["path", "_n"], ["_one"]).select("path", F.col("_one_before").alias("rank"))
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
-    ranked = paths.join(ranks, "path").select("conv_id", "rank")
-    joined = chained.alias("a").join(ranked.alias("b"), same).select("a.*", "b.rank")
-    return stage(joined, "chat-ranks")
+def _spread(steps: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """steps with columns of their nodes. A node that a third of all conversations share is looked up
+    once for each of SPREAD groups of conversations, and each group is a task of its own."""
+    steps = steps.withColumn("_part", F.pmod(F.xxhash64("conv"), F.lit(SPREAD)))
+    near = steps.groupBy("node", "_part").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return steps.join(near.join(nodes.select("node", *columns), "node"), ["node", "_part"]).drop("_part")
+
+
+def _placed(chained: DataFrame) -> DataFrame:
+    """(node, parent, depth, above, h1, h2, chars, start, end, subtree_end): the depth-first layout,
+    siblings in order of their hashes.
+
+    A node's text is counted in the first conversation through it, so what a subtree holds is the sum,
+    over the conversations through its top, of what they count from there on. A node starts after its
+    path and after all earlier siblings of the nodes on its path. Every sum runs over slices.
+    """
+    named = chained.withColumn("conv", _named())
+    # All conversations through a node are merged inside each task first.
+    nodes = named.groupBy("node", "parent", "depth", "above", "h1", "h2", "chars").agg(F.min("conv").alias("conv"))
+    nodes = stage(nodes, "chat-nodes")
+    counts = nodes.select("conv", "node", F.col("chars").alias("own"))
+    steps = named.select("conv", "depth", "node").join(counts, ["conv", "node"], "left").fillna(0, ["own"])
+    steps = running_totals(steps, ["conv"], ["depth"], ["own"])
+    # Copies of other conversations, and starts of them, count nothing.
+    steps = stage(steps.where("own_total > 0"), "chat-steps")
+    subtrees = steps.groupBy("node").agg(F.sum(F.col("own_total") - F.col("own_before")).alias("subtree"))
+    sized = running_totals(nodes.drop("conv").join(subtrees, "node"), ["parent"], ["node"], ["subtree"])
+    sized = stage(sized.withColumnRenamed("subtree_before", "shift"), "chat-siblings")
+    along = _spread(steps.select("conv", "depth", "node"), sized, ["shift"])
+    along = running_totals(along, ["conv"], ["depth"], ["shift"])
+    starts = along.groupBy("node").agg(F.min(F.col("shift_before") + F.col("shift")).alias("shifts"))
+    start = F.col("above") + F.col("shifts")
+    return sized.join(starts, "node").select(
+        "node", "parent", "depth", "above", "h1", "h2", "chars", start.alias("start"),
+        (start + F.col("chars")).alias("end"), (start + F.col("subtree")).alias("subtree_end"),
+    )
 
 
 def formatted(conversations: DataFrame, path: str) -> None:
@@ -114,19 +145,8 @@ def formatted(conversations: DataFrame, path: str) -> None:
     bounded_batches(conversations.sparkSession)
     rows = turns(conversations)
     chained = _chained(rows)
-    ranked = _ranked(chained)
-    ranked.select("conv_id", "depth", "node").write.parquet(f"{path}/paths")
-    # All conversations through a node are merged inside each task first.
-    nodes = ranked.groupBy("node", "parent", "depth", "above", "h1", "h2", "chars").agg(
-        F.min("rank").alias("first"), F.max("rank").alias("last")
-    )
-    nodes = stage(nodes, "chat-nodes")
-    placed = running_totals(nodes, [], ["first", "depth", "node"], ["chars"])
-    placed = placed.withColumnRenamed("chars_before", "start").drop("chars_total")
-    owned = nodes.groupBy("first").agg(F.sum("chars").alias("owned"))
-    owned = running_totals(owned, [], ["first"], ["owned"])
-    owned = owned.select(F.col("first").alias("last"), (F.col("owned_before") + F.col("owned")).alias("subtree_end"))
-    placed = placed.join(owned, "last")
+    chained.select("conv_id", "depth", "node").write.parquet(f"{path}/paths")
+    placed = _placed(chained)
     # The text of each node once: equal turns have equal hashes.
     texts = rows.groupBy(F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("second"), "body").alias("h2")).agg(
         F.first("body").alias("body"), F.first("role").alias("role"), F.first("text_start").alias("text_start"),
@@ -135,8 +155,7 @@ def formatted(conversations: DataFrame, path: str) -> None:
     masked = F.when(F.col("role") == "assistant", F.col("text_chars")).otherwise(F.lit(0))
     placed.join(texts, ["h1", "h2"]).select(
         "node", "parent", "depth", "role", "body", F.col("text_start").alias("loss_start"),
-        (F.col("text_start") + masked).alias("loss_end"), F.col("above").alias("position"), "start",
-        (F.col("start") + F.col("chars")).alias("end"), "subtree_end",
+        (F.col("text_start") + masked).alias("loss_end"), F.col("above").alias("position"), "start", "end", "subtree_end",
     ).write.parquet(f"{path}/nodes")
 
 
@@ -146,8 +165,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     bounded_batches(spark)
     nodes = spark.read.parquet(f"{path}/nodes").select("node", "body", "loss_start", "loss_end")
     steps = spark.read.parquet(f"{path}/paths")
-    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
-    rows = steps.join(nodes, "node").select(conv.alias("conv"), "conv_id", "depth", "body", "loss_start", "loss_end")
+    rows = steps.join(nodes, "node").select(_named().alias("conv"), "conv_id", "depth", "body", "loss_start", "loss_end")
     rows = rows.repartition("conv").sortWithinPartitions("conv", "depth")
     kind = steps.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

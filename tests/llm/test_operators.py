@@ -250,6 +250,27 @@ def test_chat(spark):
     assert chat.formatted_and_read(df.limit(0)).count() == 0
 
 
+def test_chat_layout_of_long_and_branching_conversations(spark, tmp_path):
+    r = random.Random(7)
+    convs = {i: [r.choice("ab") * r.randint(1, 2) for _ in range(r.randint(1, 7))] for i in range(300)}
+    convs |= {1000 + i: convs[5] for i in range(50)} | {2000: ["a"] * 5000, 2001: ["a"] * 2500 + ["b"] * 10}
+    rows = [(c, t, "user", x) for c, texts in convs.items() for t, x in enumerate(texts)]
+    chat.formatted(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), str(tmp_path / "trees"))
+    nodes = {bytes(n.node): n for n in spark.read.parquet(str(tmp_path / "trees/nodes")).collect()}
+    assert len(nodes) == len({tuple(x[: i + 1]) for x in convs.values() for i in range(len(x))})
+    ordered = sorted(nodes.values(), key=lambda n: n.start)
+    assert ordered[0].start == 0 and all(a.end == b.start for a, b in zip(ordered, ordered[1:]))
+    # A walk over the layout: what is open at a node are its ancestors, and no stretch crosses another.
+    above = []
+    for n in ordered:
+        while above and above[-1].subtree_end <= n.start:
+            assert above.pop().subtree_end <= n.start
+        assert len(above) == n.depth and n.position == sum(len(a.body) for a in above)
+        assert bytes(n.parent) == (bytes(above[-1].node) if above else b"")
+        assert not above or n.subtree_end <= above[-1].subtree_end
+        above.append(n)
+
+
 def test_pii(spark):
     text = "Dear Mr. John Smith, call +49 (030) 555-1234; Smith is at 10.0.0.7 or jo.smith@corp.example.com. Госпожа Анна Иванова 4111 1111 1111 1111 token = \"04dbebab91ab85687d33\""
     rows = [(1, text, 0), (2, "+49 030-5551234 Mr. Smith", 0), (3, "clean text, version 4.0", 0), (None, None, 0), (4, "", 0), (1, text, 0)]
