@@ -2,8 +2,8 @@
 
 Three steps. Entities are detected in each text and written with a normal form (digits of a phone
 number, lower-cased mail address, a name without its title). The table of distinct normal forms
-gets surrogates from a keyed hash: same type, length, country code or network class, gender and
-script; forms whose surrogate collides with another surrogate or with a real form are drawn
+gets surrogates from a keyed hash: same type, length, country code or network, gender and script, and
+check digits that hold where they did; forms whose surrogate collides with another surrogate or with a real form are drawn
 again until none does, so distinct entities stay distinct. Then every mention is written in the
 layout it had, so equal entities have equal surrogates in every text.
 
@@ -16,7 +16,9 @@ import hashlib
 import hmac
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from ipaddress import AddressValueError, IPv4Address, IPv4Network, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,12 +49,22 @@ PATTERNS = {
     "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<secret_value>[A-Za-z0-9_+/=.-]{8,})|\b[0-9a-fA-F]{32,}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,7}(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)?(?![\w:])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9.-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9-]|\.[0-9])|(?<![0-9.,-])(?<![0-9] )0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![ -]?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "person": rf"\b(?P<title>{'|'.join(GENDER)})\b\.? (?P<names>{_NAMES}(?: {_NAMES})*)",
 }
+# IPv4 networks with a meaning of their own; all other addresses are public.
+NETWORKS = [
+    IPv4Network(n)
+    for n in (
+        "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
+        "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4",
+    )
+]
+LARGE_PRIVATE = IPv4Network("10.0.0.0/8")
 FINDER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 # Where a kind's forms fill its space: from this attempt on an address may leave its network class,
 # and from four times as many on a surrogate may be some other entity's real form.
@@ -84,13 +96,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     for layout in (name, name.upper()):
                         known.setdefault(layout, form)
             continue
+        if kind == "ipv6" and not is_ipv6(text[start:end]):
+            continue
         out.append((start, end, kind, normal_form(kind, text[start:end])))
     if known:
-        taken = [(s, e) for s, e, _, _ in out]
+        # In order and without overlaps, so the last one that starts before an end decides.
+        starts, ends = [e[0] for e in out], [e[1] for e in out]
         layouts = (re.escape(n).replace("'", "['’]") for n in sorted(known, key=len, reverse=True))
         again = re.compile(r"\b(?:" + "|".join(layouts) + r")\b")
         for m in again.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
+            before = bisect_right(starts, m.end() - 1)
+            if not before or ends[before - 1] <= m.start():
                 out.append((m.start(), m.end(), "person", known[m.group().replace("’", "'")]))
     return sorted(out)
 
@@ -129,9 +145,29 @@ def normal_form(kind: str, mention: str) -> str:
         return re.sub(r"[^0-9]", "", mention)
     if kind == "iban":
         return mention.replace(" ", "")
+    if kind == "ipv6":
+        return IPv6Address(mention).exploded
     return mention.lower() if kind in ("email", "ip") else mention
 
 
+def is_ipv6(text: str) -> bool:
+    """Three groups at least and a digit, so that scopes such as a::b are none."""
+    try:
+        IPv6Address(text)
+    except AddressValueError:
+        return False
+    return any(c.isdigit() for c in text) and sum(bool(g) for g in text.split(":")) >= 3
+
+
+def network(address: IPv4Address) -> IPv4Network | None:
+    return next((n for n in NETWORKS if address in n), None)
+
+
+def iban_remainder(form: str) -> int:
+    """1 for a valid IBAN."""
+    return int("".join(str(int(c, 36)) for c in form[4:] + form[:4])) % 97
+
+
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
     """Keyed bytes without end."""
     n = 0
@@ -174,18 +210,34 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         new = _letters(form, s)
         return next((c for d in "0123456789" if luhn(c := new[:-1] + d)), new) if luhn(form) else new
     if kind == "ip":
-        old = form.split(".")
-        # Private networks stay private; the small one overflows into the large one first.
-        keep = ["10"] if old[0] == "10" else ["192", "168"] if old[:2] == ["192", "168"] else []
-        if keep and attempt >= CROWDED:
-            keep = ["10"] if attempt < 2 * CROWDED else []
-        return ".".join(keep + [str(next(s) % 254 + 1) for _ in old[len(keep):]])
+        old = network(IPv4Address(".".join(str(int(part)) for part in form.split("."))))
+        # Private networks stay private; the small ones overflow into the large one first.
+        if old and attempt >= CROWDED:
+            old = LARGE_PRIVATE if old.is_private and attempt < 2 * CROWDED else None
+        while True:
+            new = IPv4Address(bytes(next(s) for _ in range(4)))
+            if old:
+                new = old[int(new) % old.num_addresses]
+            if network(new) == old:
+                return str(new)
+    if kind == "ipv6":
+        # The first group tells the network; groups that are zero stay zero, the others keep their length.
+        first, *groups = form.split(":")
+        for i, g in enumerate(groups):
+            length = len(g.lstrip("0")) if attempt < CROWDED else 4 if int(g, 16) or attempt >= 2 * CROWDED else 0
+            low = 16 ** (length - 1) if length else 0
+            drawn = next(s) * 256 + next(s)
+            groups[i] = f"{low + drawn % (15 * low) if length else 0:04x}"
+        return ":".join([first, *groups])
     if kind == "email":
         local, domain = form.rsplit("@", 1)
         names, top = domain.rsplit(".", 1)
         return f"{_letters(local, s)}@{_letters(names, s)}.{top}"
     if kind == "iban":
-        return form[:4] + _letters(form[4:], s)
+        body = _letters(form[4:], s)
+        if iban_remainder(form) != 1:
+            return form[:2] + _letters(form[2:4], s) + body
+        return f"{form[:2]}{98 - iban_remainder(form[:2] + '00' + body):02d}{body}"
     if kind == "person":
         part, gender, name = form.split(" ", 2)
         starts, vowels, ends = SYLLABLES[script(name)]
@@ -203,7 +255,15 @@ def written(kind: str, mention: str, new: str) -> str:
     if kind == "person":
         name = new.split(" ", 2)[2]
         return name.upper() if len(mention) > 1 and mention.isupper() else name.capitalize()
-    return new.upper() if kind == "email" and mention.isupper() else new
+    if kind == "ipv6":
+        groups = mention.split(":")
+        padded = all(len(g) == 4 for g in groups)
+        short = IPv6Address(new).compressed if "::" in mention else ":".join(f"{int(g, 16):x}" for g in new.split(":"))
+        new = new if padded else short
+        return new.upper() if mention == mention.upper() else new
+    if kind == "email" and len(new) == len(mention):
+        return "".join(n.upper() if m.isupper() else n for n, m in zip(new, mention))
+    return new
 
 
 def _named(key: str | Column) -> Column:
