@@ -16,7 +16,7 @@ QUERIES = [
     "class_distribution", "dedup_full_row", "duplicate_report", "null_counts", "label_counts", "describe_features",
     "except_distinct", "except_all", "cohens_d", "feature_auc", "separability_ranking", "correlation_matrix",
     "split_random", "split_exact", "split_stratified", "split_ordered", "split_head_except",
-    "sample_with_replacement", "scale_zscore_pop", "roc_auc", "pr_auc", "ladder_counts", "robustness_delta",
+    "sample_with_replacement", "slot_draws", "scale_zscore_pop", "roc_auc", "pr_auc", "ladder_counts", "robustness_delta",
     "gold_write", "logreg_metrics", "strict_generalization", "weighted_forest_cross_dataset",
     "weighted_forest_learnable",
 ]

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlab.functions.hashing import bucket, edge, leading_bits
+from flowlab.functions.hashing import SLOTS, bucket, edge, leading_bits, row_digest
 from flowlab.operators.dedup import except_distinct
 from flowlab.operators.ordering import CLASS, global_index, hash_cut, order_cut
 from flowlab.schemas import TARGET
+from flowlab.sources.staging import stage
 from flowlab.sources.tables import scan_source
 
 Split = tuple[DataFrame, DataFrame]
@@ -98,6 +99,39 @@ def sample_with_replacement(df: DataFrame, n: int, order: list[str], seed: str =
     return indexed.join(draws, "row_index").drop("row_index")
 
 
+def slot_draws(df: DataFrame, n: int, keys: list[str], seed: str = "draw") -> DataFrame:
+    """n independent draws with replacement, numbered `draw`; position p is that of the p-th row in order of
+    the key digest, ties by all other columns.
+
+    The histogram of digest slots is turned around: its running counts tell in which slot a position
+    falls, and only rows of slots that are hit are put in order. df is scanned twice and never
+    staged as a whole. Null is a value, copies share their positions, an empty table gives no draws.
+    """
+    spark = df.sparkSession
+    digest = row_digest(keys, seed)
+    marked = df.withColumns({"_digest": digest, "_slot": F.shiftright(leading_bits(digest), 16).cast("int")})
+    slots = marked.groupBy("_slot").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    slots = stage(slots, "slots")
+    size = slots.agg(F.sum("n")).first()[0]
+    if not size:
+        return df.withColumn("draw", F.lit(0).cast("bigint"))
+    # At most SLOTS rows pass through this window.
+    first = F.sum("n").over(W.partitionBy("_all").orderBy("_slot")) - F.col("n")
+    edges = slots.select("_slot", first.alias("_first"), (first + F.col("n")).alias("_end"))
+    # Equal stretches of positions, as many as slots, bring a draw together with the few slots it may lie in.
+    stretch = lambda position: (position * F.lit(SLOTS) / F.lit(size)).cast("int")
+    near = F.explode(F.sequence(stretch(F.col("_first")), stretch(F.col("_end")))).alias("_near")
+    edges = stage(edges.select("*", near), "edges")
+    text = F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))
+    pick = leading_bits(F.md5(text), INDEX_DIGITS) % F.lit(size)
+    draws = spark.range(n).select(F.col("id").alias("draw"), pick.alias("_pick")).withColumn("_near", stretch(F.col("_pick")))
+    draws = draws.join(edges, "_near").where("_first <= _pick and _pick < _end")
+    draws = stage(draws.select("draw", "_slot", (F.col("_pick") - F.col("_first")).alias("_at")), "draws")
+    hit = marked.join(draws.select("_slot").distinct(), "_slot", "left_semi")
+    placed = global_index(hit, ["_digest"], by=["_slot"], index="_at")
+    return placed.join(draws, ["_slot", "_at"]).select(*df.columns, "draw")
+
+
 def mark_exact(df: DataFrame, keys: list[str], test: float = 0.2, seed: str = "") -> DataFrame:
     """Flags n - ceil(test * n) rows as `in_train`."""
     rows = f"n - cast(ceil(n * cast({float(test)} as double)) as bigint)"

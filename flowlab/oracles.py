@@ -437,6 +437,7 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "ablation_impact": f"{with_clause('ablation_metrics')} SELECT m.removed_feature, round(b.f1 - m.f1, 6) AS f1_drop, round(b.roc_auc - m.roc_auc, 6) AS roc_auc_drop FROM ablation_metrics m JOIN ablation_metrics b ON b.experiment = 'Full Model' AND m.experiment <> 'Full Model'",
     "sample_fraction": f"{GOLD} SELECT {KEY_LIST}, is_attack FROM gold WHERE {bucket('sample')} < {edge(0.25)}",
     "stratified_sample_n": GOLD + STRATA.format(size="least(5000, total)", digest=DIGEST) + f" SELECT {KEY_LIST}, is_attack FROM placed WHERE picked",
+    "slot_draws": f"{GOLD}, indexed AS (SELECT *, row_number() OVER (ORDER BY md5({KEY_TEXT.format(seed="'draw', ")}), {KEY_LIST}, Fwd_Packets_Length_Total, is_attack) - 1 AS row_index FROM gold), draws AS (SELECT i AS draw, CAST('0x' || substr(md5('draw|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT count(*) FROM gold) AS row_index FROM range(500) r(i)) SELECT {KEY_LIST}, is_attack, draw FROM indexed JOIN draws USING (row_index)",
     "sample_with_replacement": f"{GOLD}, indexed AS (SELECT *, row_number() OVER (ORDER BY {KEY_LIST}, Fwd_Packets_Length_Total) - 1 AS row_index FROM gold), draws AS (SELECT i AS draw, CAST('0x' || substr(md5('draw|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT count(*) FROM gold) AS row_index FROM range(500) r(i)) SELECT {KEY_LIST}, is_attack, draw FROM indexed JOIN draws USING (row_index)",
     "split_random": f"{GOLD} SELECT {KEY_LIST}, is_attack, {bucket('split')} < {edge(0.8)} AS in_train FROM gold",
     "split_exact": f"{GOLD} SELECT {KEY_LIST}, is_attack, row_number() OVER (ORDER BY {DIGEST}, {KEY_LIST}) <= count(*) OVER () - ceil(count(*) OVER () * 0.2e0) AS in_train FROM gold",

@@ -221,7 +221,7 @@ def exact_size_ladder(
             if size > n and not replacement:
                 continue
             if replacement:
-                drawn = split.sample_with_replacement(table, size, keys)
+                drawn = split.slot_draws(table, size, keys)
                 train = test = drawn
             else:
                 drawn = split.stratified_sample(table, size, keys)

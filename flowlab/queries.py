@@ -509,6 +509,12 @@ def sample_with_replacement(spark, folder):
     return _drawn(split.sample_with_replacement(table, DRAWS, order), "draw")
 
 
+@query
+def slot_draws(spark, folder):
+    table = gold(spark, folder).select(*KEYS, "Fwd_Packets_Length_Total", TARGET)
+    return _drawn(split.slot_draws(table, DRAWS, KEYS), "draw")
+
+
 @query
 def split_random(spark, folder):
     train, test = split.hash_split(gold(spark, folder), KEYS)

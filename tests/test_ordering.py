@@ -140,6 +140,19 @@ def test_with_replacement(spark):
     assert split.sample_with_replacement(df.limit(0), 5, ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_slot_draws(spark, parts):
+    ids = [7] * 400 + list(range(8, 700)) + [None, None]
+    df = spark.createDataFrame([(i, 0) for i in ids], "id int, _at int").repartition(parts).drop("_at")
+    digest = lambda i: hashlib.md5(("draw" if i is None else f"draw|{i}").encode()).hexdigest()
+    ordered = sorted(ids, key=digest)
+    want = [ordered[int(hashlib.md5(f"draw|{i}".encode()).hexdigest()[:15], 16) % len(ids)] for i in range(3000)]
+    got = sorted(split.slot_draws(df, 3000, ["id"]).collect(), key=lambda r: r.draw)
+    assert [r.draw for r in got] == list(range(3000)) and [r.id for r in got] == want
+    assert split.slot_draws(df.limit(0), 5, ["id"]).count() == 0
+    assert split.slot_draws(df, 0, ["id"]).count() == 0
+
+
 def test_set_differences(spark, rows, step):
     right = some_rows(9, 300, hot=0.1)
     a, b = Counter(rows), Counter(right)

@@ -67,6 +67,7 @@ def test_a_window_over_all_rows_is_noticed(spark):
 
 @pytest.mark.parametrize("name", [
     "class_stats", "feature_auc", "roc_auc", "pr_auc", "split_exact", "split_ordered", "sample_with_replacement",
+    "slot_draws",
 ])
 def test_no_window_over_all_rows(spark, staged, name):
     final = plan(queries.REGISTRY[name](spark, SMALL))

@@ -19,7 +19,7 @@ MODELS = {
 }
 # Results that depend on an order, a draw or a cumulative sum.
 ORDER_SENSITIVE = [
-    "preview", "except_all", "class_stats", "feature_auc", "stratified_sample_n", "sample_with_replacement",
+    "preview", "except_all", "class_stats", "feature_auc", "stratified_sample_n", "sample_with_replacement", "slot_draws",
     "split_exact", "split_stratified", "split_ordered", "split_head_except", "roc_auc", "pr_auc",
     "correlation_matrix", "scale_zscore_pop", "drop_empty_columns",
 ]
