@@ -1,7 +1,8 @@
 """Model experiments over gold rows; each gives one row of the METRICS schema per run.
 
 Input tables hold the features, the target and key columns. Stage times are wall-clock times of
-forced actions; prediction is timed on materialised predictions, never on a count, which
+forced actions: preparation is cleaning and dropping copies, selection is taking a sample (0 where all
+rows are taken), split is forming and counting the two sides. Prediction is timed on materialised predictions, never on a count, which
 Catalyst would answer without running the model.
 """
 
@@ -104,20 +105,42 @@ def run(
     return Run(model, row | measured | labels)
 
 
-def split_run(train: DataFrame, test: DataFrame, pipeline: Pipeline, **labels) -> Run:
+def split_run(sides: Callable[[], split.Split], pipeline: Pipeline | MakeModel, **labels) -> Run:
+    """`sides` forms the split; its own jobs are part of the split time. The pipeline may depend on the
+    number of training rows."""
+    start = perf_counter()
+    train, test = sides()
     with kept(train, test):
-        start = perf_counter()
-        train_rows, _ = train.count(), test.count()
-        return run(train, test, pipeline, train_rows, split_time_sec=perf_counter() - start, **labels)
+        train_rows = train.count()
+        if test is not train:
+            forced(test)
+        splitting = perf_counter() - start
+        if not isinstance(pipeline, Pipeline):
+            pipeline = pipeline(train_rows)
+        return run(train, test, pipeline, train_rows, split_time_sec=splitting, **labels)
+
+
+def staged(df: DataFrame) -> tuple[DataFrame, dict]:
+    """The prepared table, written once, and the times of the stages before the split."""
+    start = perf_counter()
+    table = stage(df, "distinct")
+    return table, {"preparation_time_sec": perf_counter() - start, "selection_time_sec": 0.0}
 
 
 def random_split(df: DataFrame, keys: list[str], pipeline: Pipeline, **labels) -> Run:
     """About 80 / 20 by key digest; both sides are filters over one kept table."""
     marked = _marked(df, keys)
     with kept(marked):
+        start = perf_counter()
+        forced(marked)
+        preparation = perf_counter() - start
         start = perf_counter()
         train, test = _sides(marked)
-        return run(train, test, pipeline, train.count(), split_time_sec=perf_counter() - start, **labels)
+        train_rows = train.count()
+        return run(
+            train, test, pipeline, train_rows, preparation_time_sec=preparation, selection_time_sec=0.0,
+            split_time_sec=perf_counter() - start, **labels,
+        )
 
 
 def _marked(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,17 +156,17 @@ def _sides(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ordered_split(df: DataFrame, order: list[str], trees: int = 50, **labels) -> Run:
     """The first 80 % of the distinct rows in the given order train a forest on z-scores."""
-    table = stage(complete(dedup.distinct_rows(df), order), "distinct")
+    table, times = staged(complete(dedup.distinct_rows(df), order))
     pipeline = models.stages(models.forest(trees), scale="zscore")
-    return split_run(*split.split_ordered(table, order), pipeline, **labels)
+    return split_run(lambda: split.split_ordered(table, order), pipeline, **times, **labels)
 
 
 def strict_split(df: DataFrame, order: list[str], trees: int = 100, head: float = HEAD, **labels) -> Run:
     """A small head trains, the distinct rest tests; no feature row is on both sides."""
     columns = [*FEATURES, TARGET]
-    table = stage(complete(dedup.distinct_rows(df), order), "distinct")
-    sides = split.split_head_except(table, order, head, columns)
-    return split_run(*sides, models.stages(models.forest(trees)), **labels)
+    table, times = staged(complete(dedup.distinct_rows(df), order))
+    sides = lambda: split.split_head_except(table, order, head, columns)
+    return split_run(sides, models.stages(models.forest(trees)), **times, **labels)
 
 
 def cross_source(train: DataFrame, test: DataFrame, trees: int = 100, **labels) -> Run:
@@ -151,8 +174,14 @@ def cross_source(train: DataFrame, test: DataFrame, trees: int = 100, **labels)
     train, test = complete(dedup.distinct_rows(train)), complete(dedup.distinct_rows(test))
     pipeline = models.stages(models.forest(trees, weight="class_weight"))
     with kept(train, test):
+        start = perf_counter()
         forced(test)
-        return run(add_class_weights(train), test, pipeline, train.count(), **labels)
+        train_rows = train.count()
+        # The sources are the sides, so nothing is split or selected.
+        return run(
+            add_class_weights(train), test, pipeline, train_rows, preparation_time_sec=perf_counter() - start,
+            selection_time_sec=0.0, split_time_sec=0.0, **labels,
+        )
 
 
 def rung_counts(table: DataFrame, keys: list[str], fractions: Sequence[float] = LADDER) -> DataFrame:
@@ -200,9 +229,10 @@ def ladder(
             if train_rows + test_rows < MIN_ROWS:
                 continue
             train, test = _sides(marked.where(F.col("_sample") < edge(f)))
+            # The pass that counts all rungs splits them too.
             rows.append(run(
                 train, test, make(train_rows), train_rows, dataset_size=f"{f:.0%}", fraction=float(f),
-                preparation_time_sec=preparation, selection_time_sec=selection, **labels,
+                preparation_time_sec=preparation, selection_time_sec=selection, split_time_sec=0.0, **labels,
             ).row)
     return metric_table(df.sparkSession, rows)
 
@@ -216,19 +246,22 @@ def exact_size_ladder(
     table = prepared(df, keys, features)
     rows = []
     with kept(table):
+        start = perf_counter()
         n = table.count()
+        preparation = perf_counter() - start
         for size in sizes:
             if size > n and not replacement:
                 continue
-            if replacement:
-                drawn = split.slot_draws(table, size, keys)
-                train = test = drawn
-            else:
-                drawn = split.stratified_sample(table, size, keys)
-                train, test = split.split_stratified(drawn, keys, seed="split")
-            rows.append(split_run(
-                train, test, make(size), features=features, dataset_size=str(size), fraction=min(size / n, 1.0), **labels
-            ).row)
+            start = perf_counter()
+            drawn = split.slot_draws(table, size, keys) if replacement else split.stratified_sample(table, size, keys)
+            with kept(drawn):
+                forced(drawn)
+                selection = perf_counter() - start
+                sides = lambda: (drawn, drawn) if replacement else split.split_stratified(drawn, keys, seed="split")
+                rows.append(split_run(
+                    sides, make(size), features=features, dataset_size=str(size), fraction=min(size / n, 1.0),
+                    preparation_time_sec=preparation, selection_time_sec=selection, **labels,
+                ).row)
     return metric_table(df.sparkSession, rows)
 
 
@@ -238,7 +271,8 @@ def ablation(
 ) -> DataFrame:
     """The full model, then one model without each feature, all on one ordered split. Vectors are
     assembled once; two fits run at a time, so stages with few tasks do not leave cores idle."""
-    table = stage(complete(dedup.distinct_rows(df), order, features), "distinct")
+    table, times = staged(complete(dedup.distinct_rows(df), order, features))
+    start = perf_counter()
     train_side, test_side = (
         assemble(side, features, "all_features").select("all_features", TARGET)
         for side in split.split_ordered(table, order, train)
@@ -250,10 +284,13 @@ def ablation(
         pipeline = Pipeline(stages=[models.without(removed, features), models.forest(trees)])
         return run(
             train_side, test_side, pipeline, train_rows, left, experiment=name, algorithm="Random Forest",
+            split_time_sec=splitting, **times,
         ).row | {"removed_feature": removed}
 
     with kept(train_side, test_side):
         train_rows = train_side.count()
+        forced(test_side)
+        splitting = perf_counter() - start
         with ThreadPoolExecutor(at_once) as pool:
             rows = list(pool.map(one, [None, *features]))
     spark = df.sparkSession

@@ -616,12 +616,11 @@ def logreg_metrics(spark, folder):
 
 @query
 def logreg_l2_metrics(spark, folder):
-    table = experiments.prepared(gold(spark, folder), KEYS)
-    train, test = split.split_stratified(stage(table, "prepared"), KEYS)
-    n = train.count()
-    pipeline = models.stages(models.logistic_l2(n), scale="population", train_rows=n)
+    table, times = experiments.staged(experiments.prepared(gold(spark, folder), KEYS))
     return _metrics(spark, experiments.split_run(
-        train, test, pipeline, experiment="stratified split", algorithm="Logistic Regression"
+        lambda: split.split_stratified(table, KEYS),
+        lambda n: models.stages(models.logistic_l2(n), scale="population", train_rows=n),
+        experiment="stratified split", algorithm="Logistic Regression", **times,
     ))
 
 
@@ -888,11 +887,10 @@ def _sample_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sample_detector(spark, folder):
     """Logistic regression on the five features of the small sample, exact 80 / 20 split."""
-    table = experiments.prepared(_sample_table(spark, folder), SAMPLE_KEYS, SAMPLE_FEATURES)
-    sides = split.split_exact(stage(table, "sample"), SAMPLE_KEYS)
+    table, times = experiments.staged(experiments.prepared(_sample_table(spark, folder), SAMPLE_KEYS, SAMPLE_FEATURES))
     return _metrics(spark, experiments.split_run(
-        *sides, models.stages(models.logistic(100), SAMPLE_FEATURES, "zscore"), features=SAMPLE_FEATURES,
-        experiment="sample", algorithm="Logistic Regression",
+        lambda: split.split_exact(table, SAMPLE_KEYS), models.stages(models.logistic(100), SAMPLE_FEATURES, "zscore"),
+        features=SAMPLE_FEATURES, experiment="sample", algorithm="Logistic Regression", **times,
     ))
 
 

@@ -84,6 +84,12 @@ def test_scaler_sees_training_rows_only(learnable):
         models.stages(models.logistic(), scale="other")
 
 
+def all_timed(row) -> bool:
+    """Every stage has a time, and preparation is never free."""
+    times = [row[f] for f in METRICS.names if f.endswith("_time_sec")]
+    return len(times) == 6 and all(t is not None and t >= 0 for t in times) and row["preparation_time_sec"] > 0
+
+
 def test_cross_source_and_strict(learnable):
     sides = split.split_by_source(learnable, "botnet", "bruteforce")
     row = experiments.cross_source(*sides, trees=10, experiment="cross").row
@@ -93,6 +99,9 @@ def test_cross_source_and_strict(learnable):
     n = finite.select(*FEATURES, "is_attack").distinct().count()
     assert strict["train_rows"] == int(finite.distinct().count() * 0.06)
     assert n - strict["train_rows"] <= strict["test_rows"] <= n
+    assert all_timed(row) and all_timed(strict) and strict["split_time_sec"] > 0
+    assert all_timed(experiments.random_split(learnable, KEYS, models.stages(models.forest(3))).row)
+    assert all_timed(experiments.ordered_split(learnable, ORDER, trees=3).row)
 
 
 def test_ladder_skips_small_rungs_and_nests(learnable, spark):
@@ -112,13 +121,14 @@ def test_exact_sizes(learnable):
     make = lambda n: models.stages(models.logistic_l2(n, 50), scale="zscore")
     rows = experiments.exact_size_ladder(learnable, KEYS, [500, 10**7], make).collect()
     assert [(r.n_rows, r.train_rows) for r in rows] == [(500, 400)]
+    assert all(all_timed(r) and r.selection_time_sec > 0 for r in rows)
     rows = experiments.exact_size_ladder(learnable, KEYS, [50], make, replacement=True).collect()
-    assert [r.train_rows for r in rows] == [50]
+    assert [r.train_rows for r in rows] == [50] and all(map(all_timed, rows))
 
 
 def test_ablation(learnable):
     rows = experiments.ablation(learnable, ORDER, trees=5).collect()
-    assert len(rows) == 1 + len(FEATURES)
+    assert len(rows) == 1 + len(FEATURES) and all(map(all_timed, rows))
     assert {r.num_features for r in rows} == {10, 9} and len({(r.train_rows, r.test_rows) for r in rows}) == 1
     full = next(r for r in rows if r.experiment == "Full Model")
     loss = {r.removed_feature: full.roc_auc - r.roc_auc for r in rows if r.removed_feature}
