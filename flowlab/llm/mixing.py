@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import number, numbered_copies, words
+from flowlab.llm.common import COPIES_PER_STEP, number, numbered_copies, words
+from flowlab.operators.ordering import repeat_rows
 from flowlab.sources.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -59,12 +60,17 @@ def _before(c: str, by: Sequence[str], order: Sequence[str | Column]) -> Column:
     return F.coalesce(F.sum(c).over(w), F.lit(0))
 
 
-def _ranked(df: DataFrame, key: str, text: str, source: str, seed: str, weights: Sequence[int], share: float, most: float) -> DataFrame:
+def _ranked(
+    df: DataFrame, key: str, text: str, source: str, seed: str, weights: Sequence[int], share: float, most: float,
+    row: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Per distinct (doc_id, source, text): its copies, their first rank within the source, the expected
-    copies of one row and the source's offset, both in units, and the source's size and target."""
+    copies of one row and the source's offset, both in units, and the source's size and target. With the
+    hash of a whole row, the same per distinct row. Also the staged table of copies."""
+    row_hash = [] if row is None else ["row_hash"]
     counted = df.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(text)).cast("bigint").alias("size"),
-        F.xxhash64(text).alias("text_hash"),
+        F.xxhash64(text).alias("text_hash"), *([] if row is None else [row.alias("row_hash")]),
     )
     merged = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("_copies"))
     digest = number(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
@@ -92,19 +98,21 @@ def _ranked(df: DataFrame, key: str, text: str, source: str, seed: str, weights:
     )
     blocks = blocks.join(classes, ["_source", "_class"]).join(aims, "_source")
     block = ["_source", "_class", "_slot"]
-    order = ["size", "_digest", "doc_id", "text_hash"]
+    order = ["size", "_digest", "doc_id", "text_hash", *row_hash]
     rows = merged.withColumn("_before", _before("_copies", block, order)).join(blocks, block)
     rank = F.col("_classes_before") + F.col("_slots_before") + F.col("_before")
-    return rows.select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", "_copies", "_expected", "_offset", rank.alias("_rank")
+    plan = rows.select(
+        "doc_id", "source", "text_hash", *row_hash, "size", "source_size", "target", "_copies", "_expected", "_offset",
+        rank.alias("_rank"),
     )
+    return plan, merged
 
 
-def _times(nth: str, prefix: str = "") -> Column:
-    """How often the nth of some equal rows is taken: whole numbers crossed by its span."""
-    rank, expected, offset = (F.col(f"{prefix}_{c}") for c in ("rank", "expected", "offset"))
-    start, shift = (rank + F.col(nth)) * expected + offset, UNIT.bit_length() - 1
-    return (F.shiftright(start + expected, shift) - F.shiftright(start, shift)).cast("bigint")
+def _times(first: Column, rows: Column) -> Column:
+    """How often rows from a rank on are taken: whole numbers crossed by their span."""
+    expected, offset, shift = F.col("_expected"), F.col("_offset"), UNIT.bit_length() - 1
+    start, stop = first * expected + offset, (first + rows) * expected + offset
+    return (F.shiftright(stop, shift) - F.shiftright(start, shift)).cast("bigint")
 
 
 def mixed(
@@ -118,8 +126,9 @@ def mixed(
     target 0. An empty table gives an empty one. The draw depends on keys, texts, sizes and seed
     only, so reruns agree. Other columns of df do not matter.
     """
-    rows = numbered_copies(_ranked(df, key, text, source, seed, weights, share, most), "_copies", "_copy")
-    copies = _times("_copy")
+    plan, _ = _ranked(df, key, text, source, seed, weights, share, most)
+    rows = numbered_copies(plan, "_copies", "_copy")
+    copies = _times(F.col("_rank") + F.col("_copy"), F.lit(1))
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
@@ -129,18 +138,23 @@ def mix(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
     weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
 ) -> DataFrame:
-    """The rows of df as often as the mix takes them; all columns are kept. Defined as `mixed`."""
-    names = {"doc_id": "__mix_id", "source": "__mix_source", "text_hash": "__mix_hash"}
-    plan = _ranked(df, key, text, source, seed, weights, share, most)
-    plan = plan.select("doc_id", "source", "text_hash", "_expected", "_offset", "_rank").withColumnsRenamed(names)
-    plan = plan.withColumnsRenamed({c: f"_mix{c}" for c in ("_expected", "_offset", "_rank")})
-    own = {"__mix_own": F.xxhash64(text)}
-    same = (
-        F.col(key).eqNullSafe(F.col("__mix_id")) & F.col(source).eqNullSafe(F.col("__mix_source"))
-        & (F.col("__mix_own") == F.col("__mix_hash"))
-    )
-    rows = df.withColumns(own).join(plan, same)
-    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_hash").orderBy(F.xxhash64(*df.columns))) - 1
-    times = _times("__mix_nth", "_mix").cast("int")
-    rows = rows.withColumn("__mix_nth", nth)
-    return rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(df.columns)
+    """The rows of df as often as the mix takes them; all columns are kept. Defined as `mixed`.
+
+    Rows that agree in all columns are merged inside each task before texts are shuffled, and the span of
+    all of them tells how often their one text is written. Large numbers are written by several tasks.
+    """
+    row = F.xxhash64(*df.columns)
+    plan, documents = _ranked(df, key, text, source, seed, weights, share, most, row)
+    hot = not documents.where(F.col("_copies") * most > COPIES_PER_STEP).isEmpty()
+    # Keys that are never null, so that texts merged on them can be joined where they lie.
+    same = ["__mix_id", "__mix_source", "__mix_text", "__mix_row"]
+
+    def keys(of: str, origin: str) -> list[Column]:
+        return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for c, n in zip((of, origin), same)]
+
+    own = df.select(*keys(key, source), F.xxhash64(text).alias(same[2]), row.alias(same[3]), F.struct(*df.columns).alias("__mix_kept"))
+    merged = own.groupBy(*same).agg(F.first("__mix_kept").alias("__mix_kept"))
+    taken = _times(F.col("_rank"), F.col("_copies")).alias("__mix_times")
+    plan = plan.select(*keys("doc_id", "source"), F.col("text_hash").alias(same[2]), F.col("row_hash").alias(same[3]), taken)
+    rows = merged.join(plan.where("__mix_times > 0"), same).select("__mix_kept", "__mix_times")
+    return repeat_rows(rows, "__mix_times", hot=hot).select("__mix_kept.*")

@@ -15,6 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from flowlab.llm import chat, decontaminate, html_extract, mixing, pii, quality, sharding, simhash, token_output, url_filter
+from flowlab.operators import ordering
 from flowlab.sources.staging import new_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,6 +106,26 @@ def test_mixing(docs, empty, rows):
     for r in got:
         expected[r.source] += r.taken
     assert +taken == +expected and mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mix_of_rows_that_are_mostly_one(spark, monkeypatch):
+    """A third of all rows are equal, another third share key and text only: each is taken as its place says."""
+    r = random.Random(8)
+    alike = [(1, "one two three", "s", 1, "a", 2)] * 700 + [(2, "four five", "s", i, "a", 2) for i in range(700)]
+    rows = alike + [(i, prose(r, 4), None if i % 2 else "t", 1, "b", 3) for i in range(10, 710)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    expected, plain = Counter(), mixing.mixed(df).collect()
+    for x in plain:
+        expected[x.doc_id] += x.copies
+    got = mixing.mix(df).collect()
+    assert Counter(x.doc_id for x in got) == +expected and set(map(tuple, got)) <= set(rows)
+    # No row is taken more than one time above another of its key.
+    shares = Counter(tuple(x) for x in got if x.doc_id == 2)
+    assert max(shares.values()) - (min(shares.values()) if len(shares) == 700 else 0) <= 1
+    monkeypatch.setattr(mixing, "COPIES_PER_STEP", 100)
+    monkeypatch.setattr(ordering, "COPIES_PER_STEP", 100)
+    assert sorted(map(str, mixing.mix(df.repartition(3)).collect())) == sorted(map(str, got))
 
 
 def test_urls(spark):
