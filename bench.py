@@ -1,7 +1,8 @@
 """Headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is run once on a warm session; its result is forced with a noop write, so rows are
-computed in full but not moved to the driver.
+computed in full but not moved to the driver. Model queries also give their parts: preparation, split, training and
+prediction apart, with the numbers of rows, under "parts".
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import sys
 import tempfile
 import time
 
+TIMES = ["preparation_time_sec", "selection_time_sec", "split_time_sec", "training_time_sec", "prediction_time_sec"]
 QUERIES = [
     "class_distribution", "dedup_full_row", "duplicate_report", "null_counts", "label_counts", "describe_features",
     "except_distinct", "except_all", "cohens_d", "feature_auc", "separability_ranking", "correlation_matrix",
@@ -39,14 +41,23 @@ def main() -> None:
     })
     spark.sparkContext.setLogLevel("OFF")
     REGISTRY["class_distribution"](spark, folder).collect()
-    seconds = {}
+    seconds, parts = {}, {}
     for name in sys.argv[1:] or QUERIES:
         start = time.perf_counter()
-        REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
+        result = REGISTRY[name](spark, folder)
+        result.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        if set(TIMES) <= set(result.columns):
+            # One row per run, at most a few dozen.
+            runs = result.select("train_rows", "test_rows", *TIMES).collect()
+            parts[name] = [
+                {k: round(v, 3) if isinstance(v, float) else v for k, v in r.asDict().items()}
+                | {"training_us_per_row": round(1e6 * r.training_time_sec / max(1, r.train_rows), 2)}
+                for r in runs
+            ]
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(os.path.normpath(folder)).removeprefix("sf"),
+        "queries": seconds, "parts": parts, "sf": os.path.basename(os.path.normpath(folder)).removeprefix("sf"),
     }))
 
 

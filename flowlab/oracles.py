@@ -362,6 +362,13 @@ SQL: dict[str, str] = {
     "recursive_scan": "SELECT count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS sum_orderkey FROM lineitem",
     "silver_write": f"{SILVER} SELECT {', '.join(BASE_COLUMNS)}, Label, {DAY}, {odd()} FROM silver",
     "gold_write": f"{SILVER} SELECT source_file, {', '.join(OTHERS)}, Average_Packet_Size, {TARGET}, {odd()} FROM silver",
+    "raw_to_gold": f"""{SILVER} SELECT is_attack, count(*) AS n_rows, CAST(sum(Flow_Duration) AS BIGINT) AS sum_duration,
+        CAST(sum(Total_Fwd_Packets) AS BIGINT) AS sum_packets, count({ODD}) AS n_rates, count(*) FILTER (isnan({ODD})) AS n_nan,
+        count(*) FILTER (isinf({ODD})) AS n_infinite FROM (SELECT *, {TARGET} FROM silver) GROUP BY is_attack""",
+    "sample_raw_to_gold": f"""{SAMPLE} SELECT upper(trim(protocol)) AS protocol, CAST(upper(trim(label)) <> 'BENIGN' AS INTEGER) AS is_attack, count(*) AS n_rows,
+        round(sum(CASE WHEN src_port = 'n/a' THEN 0 ELSE CAST(src_port AS DOUBLE) END), 2) AS sum_ports, round(sum(CAST(packet_count AS DOUBLE)), 2) AS packets,
+        round(sum(CAST(bytes AS DOUBLE)), 2) AS bytes, CAST(CAST(max(CAST(timestamp AS TIMESTAMP)) AS DATE) AS VARCHAR) AS last_day
+        FROM (SELECT DISTINCT * FROM sample_flows) GROUP BY ALL""",
     "sample_gold": f"""{SAMPLE}, typed AS (SELECT strftime(CAST(timestamp AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS timestamp, src_ip, dst_ip,
 {', '.join(NUMBER.values())}, {', '.join(STRIPPED.values())} FROM (SELECT DISTINCT * FROM sample_flows))
 SELECT timestamp, src_ip, dst_ip, src_port, dst_port, packet_count, round(bytes, 6) AS bytes, protocol, label,
@@ -461,6 +468,7 @@ round(bytes / nullif(packet_count + 1, 0), 6) AS duration_bytes, CASE WHEN label
     "pr_auc": f"{BY_SCORE}, points AS (SELECT score, sum(n1) OVER w / sum(n1) OVER () AS r, sum(n1) OVER w / sum(n0 + n1) OVER w AS p FROM by_score WINDOW w AS (ORDER BY score DESC)), steps AS (SELECT r - coalesce(lag(r) OVER (ORDER BY score DESC), 0) AS dr, p + coalesce(lag(p) OVER (ORDER BY score DESC), p) AS pp FROM points) SELECT round(sum(dr * pp / 2), 6) AS pr_auc FROM steps",
     "generalization_verdict": f"{CELLS} SELECT *, round(tp::DOUBLE / (tp + fn), 6) AS recall_attack, CASE WHEN tp = 0 THEN 'none' WHEN tp::DOUBLE / (tp + fn) < 0.5 THEN 'limited' ELSE 'present' END AS generalization FROM cells",
     "ladder_counts": f"{GOLD} {_rungs('gold', LONG_LADDER, bucket('sample'), bucket('split'))}",
+    "ladder_runs": f"{GOLD}, rungs AS ({_rungs('gold', [0.001, *LONG_LADDER], bucket('sample'), bucket('split'))}) SELECT *, test_rows AS n_scored, TRUE AS all_timed FROM rungs WHERE n_rows >= 100",
     "robust_ladder_counts": f"{FLOWS}, t AS (SELECT DISTINCT {', '.join(FEATURES)}, {TARGET} FROM flows) {_rungs('t', LADDER, bucket('sample', ROBUST_KEYS), bucket('split', ROBUST_KEYS))}",
     "sample_detector_counts": f"""{SAMPLE}, t AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM sample_flows))
 SELECT true AS in_train, CAST(n - ceil(n * 0.2e0) AS BIGINT) AS n_rows FROM t UNION ALL SELECT false, CAST(ceil(n * 0.2e0) AS BIGINT) FROM t""",

@@ -194,6 +194,34 @@ def gold_write(spark, folder):
     return shown(tables.read_table(spark, path))
 
 
+@query
+def raw_to_gold(spark, folder):
+    """All stages of the flow tables, from raw files with spaced column names to the gold table on disk."""
+    raw, flows = new_folder(spark, "raw"), view(spark, folder, "flows")
+    spaced = flows.drop(SOURCE).toDF(*(c.replace("_", " ") for c in flows.columns if c != SOURCE))
+    # Copies go to one file: those in different files are different records.
+    spaced.repartition(*(F.col(f"`{c}`") for c in spaced.columns)).write.parquet(raw)
+    table = medallion.run_flows(spark, raw, new_folder(spark, "area"))
+    return table.groupBy(TARGET).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("Flow_Duration").alias("sum_duration"),
+        F.sum("Total_Fwd_Packets").alias("sum_packets"), F.count(ODD).alias("n_rates"),
+        F.count_if(F.isnan(ODD)).alias("n_nan"), F.count_if(F.abs(ODD) == float("inf")).alias("n_infinite"),
+    )
+
+
+@query
+def sample_raw_to_gold(spark, folder):
+    """All stages of the small sample, from CSV to the gold table on disk; bad ports are corrected, as they fail the run."""
+    raw, sample = new_folder(spark, "csv"), view(spark, folder, "sample_flows")
+    port = F.when(F.col("src_port") == "n/a", "0").otherwise(F.col("src_port"))
+    tables.write_csv(sample.withColumn("src_port", port), raw)
+    table = medallion.run_sample(spark, raw, new_folder(spark, "area"))
+    return rounded(table.groupBy("protocol", TARGET).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("src_port").alias("sum_ports"), F.sum("packet_count").alias("packets"),
+        F.sum("bytes").alias("bytes"), F.max("timestamp").cast("date").cast("string").alias("last_day"),
+    ), 2)
+
+
 @query
 def sample_gold(spark, folder):
     table = medallion.sample_to_gold(medallion.sample_to_silver(view(spark, folder, "sample_flows")))
@@ -838,6 +866,20 @@ def scalability_ladder(spark, folder):
     )
 
 
+@query
+def ladder_runs(spark, folder):
+    """Rows of each run of a ladder that has a rung under the least size on small tables, whether every test row
+    was scored, and whether every stage has its time."""
+    runs = experiments.ladder(
+        gold(spark, folder), KEYS, lambda n: models.stages(models.logistic(5), scale="std"), [0.001, *LONG_LADDER],
+    )
+    times = [F.coalesce(F.col(c) >= 0, F.lit(False)) for c in runs.columns if c.endswith("_time_sec")]
+    return runs.select(
+        "fraction", "n_rows", "train_rows", "test_rows", sum(F.col(c) for c in evaluate.CELLS).alias("n_scored"),
+        reduce(lambda a, b: a & b, times).alias("all_timed"),
+    )
+
+
 @query
 def logistic_ladder(spark, folder):
     return experiments.ladder(
