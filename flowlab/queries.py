@@ -41,6 +41,8 @@ SOURCES = ["botnet", "bruteforce"]
 # Fixed values from 100,000 on: the sizes of the large ladder. The first two suit small tables.
 EXACT_SIZES = [2_500, 10_000, 100_000, 250_000, 500_000, 750_000]
 
+RAW_FILES = 8
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -199,8 +201,9 @@ def raw_to_gold(spark, folder):
     """All stages of the flow tables, from raw files with spaced column names to the gold table on disk."""
     raw, flows = new_folder(spark, "raw"), view(spark, folder, "flows")
     spaced = flows.drop(SOURCE).toDF(*(c.replace("_", " ") for c in flows.columns if c != SOURCE))
-    # Copies go to one file: those in different files are different records.
-    spaced.repartition(*(F.col(f"`{c}`") for c in spaced.columns)).write.parquet(raw)
+    # Copies go to one file: those in different files are different records. Every file is a source of its own, and
+    # with it a partition of each stage table, so their number does not follow the session's shuffle partitions.
+    spaced.repartition(RAW_FILES, *(F.col(f"`{c}`") for c in spaced.columns)).write.parquet(raw)
     table = medallion.run_flows(spark, raw, new_folder(spark, "area"))
     return table.groupBy(TARGET).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("Flow_Duration").alias("sum_duration"),
