@@ -3,8 +3,8 @@
 Features are cut once at exact quantiles, at most BINS bins each, and rows keep the bin numbers. One level of
 all trees is one aggregate of (tree, node, feature, bin) class counts; a split is the best prefix of
 a node's bins by Gini gain. Counts are merged inside every task, and what leaves the aggregate is
-bounded by trees x nodes x features x bins, whatever the number of rows. Splits of a level are one
-small table, through which rows move to the next level.
+bounded by trees x nodes x features x bins, whatever the number of rows. Rows are written once, with their draws
+for all trees, and find their node on a level by an expression of the splits above it.
 
 Draws are digests of keys, so a forest is the same on any partitioning, and the same in SQL. A node
 table also takes the trees of a Spark ML forest, and both kinds score by the same expression.
@@ -83,30 +83,33 @@ def grow(
     """
     spark = df.sparkSession
     cuts = thresholds(df, features, target, bins)
-    draws = F.array(*(
-        F.struct(F.lit(i).alias("tree"), (poisson(keys, f"tree{i}") if t.draw else F.lit(1)).alias("w")) for i, t in enumerate(trees)
-    ))
-    table = binned(df, cuts, features, target, [draws.alias("draws")])
-    rows = stage(table.select("y", "bins", F.inline("draws")).where("w > 0"), "tree-rows").withColumn("node", F.lit(1))
+    draws = F.array(*(poisson(keys, f"tree{i}") if t.draw else F.lit(1) for i, t in enumerate(trees)))
+    rows = stage(binned(df, cuts, features, target, [draws.alias("w")]), "tree-rows")
     allowed = [(i, f) for i, t in enumerate(trees) for f in range(len(features)) if f not in t.without]
     choice = [(i, t.choice or len(features)) for i, t in enumerate(trees)]
     allowed = spark.createDataFrame(allowed, "tree int, feature int").join(spark.createDataFrame(choice, "tree int, choice int"), "tree")
     flat = [(f, b, v) for f, c in enumerate(cuts) for b, v in enumerate(c)]
     limits = spark.createDataFrame(flat, "feature int, bin int, threshold double")
-    ends = rows.groupBy("tree", "node").agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("n1"))
-    nodes = [stage(ends, "tree-roots")]
+    of_class = lambda i, k: F.coalesce(F.sum(F.when(F.col("y") == k, F.col("w")[i]).otherwise(0)), F.lit(0).cast("bigint")).alias(f"n{k}")
+    ends = rows.agg(F.array(*(F.struct(F.lit(i).alias("tree"), F.lit(1).alias("node"), of_class(i, 0), of_class(i, 1)) for i in range(len(trees)))).alias("e"))
+    nodes = [stage(ends.select(F.inline("e")).where("n0 + n1 > 0"), "tree-roots")]
     splits = []
-    for _ in range(depth):
-        best = stage(_best(rows, allowed).join(limits, ["feature", "bin"]), "tree-splits")
+    # Per tree the split of each inner node: at most trees x 2^depth, read by the driver.
+    grown: list[dict[int, tuple[int, int]]] = [{} for _ in trees]
+    for level in range(depth):
+        counts = _counts(rows, trees, grown, level)
+        best = stage(_best(counts, allowed).join(limits, ["feature", "bin"]), "tree-splits")
         splits.append(best.select("tree", "node", "feature", "threshold", "gain"))
         sides = F.array(
             F.struct((2 * F.col("node")).alias("node"), F.col("l0").alias("n0"), F.col("l1").alias("n1")),
             F.struct((2 * F.col("node") + 1).alias("node"), F.col("r0").alias("n0"), F.col("r1").alias("n1")),
         )
         nodes.append(best.select("tree", F.inline(sides)))
-        moved = rows.join(best.select("tree", "node", "feature", "bin"), ["tree", "node"])
-        right = (F.element_at("bins", F.col("feature") + 1) > F.col("bin")).cast("int")
-        rows = moved.select("y", "bins", "tree", "w", (2 * F.col("node") + right).alias("node"))
+        found = best.select("tree", "node", "feature", "bin").collect()
+        for r in found:
+            grown[r["tree"]][r["node"]] = r["feature"], r["bin"]
+        if not found:
+            break
     every, split = reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, splits)
     inner = F.col("feature").isNotNull()
     out = every.join(split, ["tree", "node"], "left").select(
@@ -117,13 +120,37 @@ def grow(
     return stage(out, "tree-nodes")
 
 
-def _best(rows: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The best split of each node, if any lowers the impurity."""
-    long = rows.select("tree", "node", "y", "w", F.posexplode("bins").alias("feature", "bin"))
+def _node(splits: dict[int, tuple[int, int]], level: int, node: int = 1) -> str:
+    """The node that a row reaches on a level, as an expression over its bins; null if it is in a leaf above."""
+    if level == 0:
+        return str(node)
+    if node not in splits:
+        return "CAST(NULL AS INT)"
+    feature, bin = splits[node]
+    left, right = (_node(splits, level - 1, 2 * node + side) for side in (0, 1))
+    return f"CASE WHEN bins[{feature}] > {bin} THEN {right} ELSE {left} END"
+
+
+def _counts(rows: DataFrame, trees: Sequence[Tree], grown: Sequence[dict], level: int) -> DataFrame:
+    """(tree, node, feature, bin, c0, c1): drawn rows of each class. Trees on all rows whose splits are the same so far
+    are counted once."""
+    members: dict[object, list[int]] = {}
+    for i, t in enumerate(trees):
+        members.setdefault(i if t.draw else tuple(sorted(grown[i].items())), []).append(i)
+    same = {m[0]: m for m in members.values()}
+    at = F.array(*(F.struct(F.lit(i).alias("tree"), F.expr(_node(grown[i], level)).alias("node"), F.col("w")[i].alias("w")) for i in same))
+    reached = rows.select("y", "bins", F.inline(at)).where("node is not null and w > 0")
+    long = reached.select("tree", "node", "y", "w", F.posexplode("bins").alias("feature", "bin"))
     y, w = F.col("y"), F.col("w")
     counts = long.groupBy("tree", "node", "feature", "bin").agg(
         F.sum(F.when(y == 0, w).otherwise(0)).alias("c0"), F.sum(F.when(y == 1, w).otherwise(0)).alias("c1")
     )
+    every = F.create_map(*(x for i, m in same.items() for x in (F.lit(i), F.array(*map(F.lit, m)))))
+    return counts.select(F.explode(every[F.col("tree")]).alias("tree"), "node", "feature", "bin", "c0", "c1")
+
+
+def _best(counts: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The best split of each node, if any lowers the impurity."""
     # From here on everything is bounded: nodes x features x bins.
     of = W.partitionBy("tree", "node", "feature")
     upto = of.orderBy("bin")

@@ -108,3 +108,15 @@ def test_binned_areas_equal_the_evaluator(spark):
         assert abs(evaluator.evaluate(rows) - value) < 1e-9
     exact = evaluate.areas(ranked).first()
     assert 0 < abs(exact.roc_auc - mine.roc_auc) < 1e-3
+
+
+def test_trees_with_equal_splits_are_counted_once(spark, table):
+    trees = [Tree(), Tree(without=(0,)), Tree(draw=True)]
+    rows = spark.createDataFrame([(1, [0, 1], [1, 1, 2]), (0, [1, 0], [1, 1, 0])], "y int, bins array<int>, w array<int>")
+    counts = histogram_trees._counts(rows, trees, [{}, {}, {}], 0)
+    assert {(r.tree, r.node, r.feature, r.bin, r.c0, r.c1) for r in counts.collect()} == {
+        *((t, 1, f, b, c0, c1) for t in (0, 1) for f, b, c0, c1 in ((0, 0, 0, 1), (1, 1, 0, 1), (0, 1, 1, 0), (1, 0, 1, 0))),
+        (2, 1, 0, 0, 0, 2), (2, 1, 1, 1, 0, 2),
+    }
+    below = histogram_trees._counts(rows, trees, [{1: (0, 0)}, {}, {}], 1).collect()
+    assert {(r.tree, r.node) for r in below} == {(0, 2), (0, 3)}
