@@ -142,3 +142,19 @@ def test_population_scaler_is_a_stage(learnable):
     moments = a.select(F.posexplode(vector_to_array("features")))
     spread = moments.groupBy("pos").agg(F.stddev_pop("col").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 or r.s == 0 for r in spread)
+
+
+def test_a_fit_runs_in_few_tasks(spark, learnable):
+    rows = spark.range(0, 5000, 1, 64)
+    assert experiments.packed(rows, 5000).rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert experiments.packed(rows, 10**6).rdd.getNumPartitions() == min(64, cores)
+    many = experiments.packed(rows, 3 * cores * experiments.ROWS_PER_TASK)
+    assert many.rdd.getNumPartitions() == min(64, 3 * cores) and many.count() == 5000
+
+
+def test_model_queries_read_staged_rows(spark):
+    from flowlab import queries
+
+    for side in queries._model_sides(spark, SMALL):
+        assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString()
