@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard similarity of 0.8 or more."""
+    """One document of each group linked by five-word Jaccard similarity of 0.8 or more: links of SimHash
+    fingerprints, verified, and those that MinHash finds beyond three bits."""
     return near_copies.representatives(docs)
 
 

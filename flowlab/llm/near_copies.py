@@ -1,5 +1,9 @@
-"""Near copies by five-word Jaccard similarity: MinHash bands find the texts that may have any, a prefix
-filter finds the pairs, every link is verified.
+"""Near copies by five-word Jaccard similarity: SimHash fingerprints linked through vantage-point trees, and
+MinHash bands and a prefix filter for the pairs that differ in more bits; every link is verified.
+
+SimHash goes first: each unit has a fingerprint, units whose fingerprints one group of the trees
+holds are compared with the smallest of the group, and the links among them count from then on.
+Similarity of 0.8 leaves up to 11 bits, where the trees no longer prune, so that MinHash looks for the rest.
 
 A text is the set of its five-word shingles (A-Z lower-cased; a shorter text is one shingle). Texts
 with equal sets are one unit. A unit has BANDS keys, each made of WIDTH minima; two units of
@@ -31,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import bounded_batches
-from flowlab.llm.simhash import components, kept_rows
+from flowlab.llm.simhash import components, edges, fingerprint, kept_rows
 from flowlab.sources.staging import remove, stage
 
 SEED = 42
@@ -68,24 +72,25 @@ def _unit(hashes: np.ndarray) -> str:
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text_hash, unit, size, keys) of every row, staged: texts are read once."""
+    """(doc_id, text_hash, unit, size, keys, fp) of every row, staged: texts are read once."""
     bounded_batches(df.sparkSession)
     narrow = df.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    names = ["doc_id", "text_hash", "unit", "size", "keys"]
+    names = ["doc_id", "text_hash", "unit", "size", "keys", "fp"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit, size, keys = [], [], []
+            unit, size, keys, fp = [], [], [], []
             for t in b.column("text"):
                 h = shingles(t.as_py())
                 unit.append(_unit(h))
                 size.append(len(h))
                 keys.append(band_keys(h))
-            out = [pa.array(unit, pa.string()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                fp.append(fingerprint(t.as_py()))
+            out = [pa.array(unit, pa.string()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *out], names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash bigint, unit string, size bigint, keys array<bigint>"
+    schema = f"doc_id {kind}, text_hash bigint, unit string, size bigint, keys array<bigint>, fp bigint"
     return stage(narrow.mapInArrow(hashed, schema), "near-rows")
 
 
@@ -136,18 +141,35 @@ def _possible(x: str, y: str) -> Column:
     return (5 * F.least(m, k) >= 4 * F.greatest(m, k)) & (9 * behind >= 4 * (m + k))
 
 
+def fingerprint_pairs(units: DataFrame) -> DataFrame:
+    """(a, b) with a > b, staged: each unit with the smallest unit of its SimHash group. A unit is one point, with the
+    smallest fingerprint of its texts."""
+    points = stage(units.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "unit-fingerprints")
+    roots = components(edges(points)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    grouped = units.select("unit", "fp").join(roots, "fp", "left").select("unit", F.coalesce("root", "fp").alias("root"))
+    grouped = stage(grouped, "simhash-units")
+    least = grouped.groupBy("root").agg(F.min("unit").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = grouped.join(least, "root").where("unit != least").select(F.col("unit").alias("a"), F.col("least").alias("b"))
+    out = stage(pairs, "simhash-pairs")
+    remove(points, grouped)
+    return out
+
+
 def links(df: DataFrame, units: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b) with a > b, staged: linked units, enough of them to tell the groups."""
+    alike = fingerprint_pairs(units)
     buckets = units.select("unit", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    wanted = buckets.join(shared, "key").select("unit").distinct()
+    met = alike.select(F.col("a").alias("unit")).unionByName(alike.select(F.col("b").alias("unit")))
+    wanted = buckets.join(shared, "key").select("unit").unionByName(met).distinct()
     sets = _sets(df, units.join(wanted, "unit").select("least"), key, text)
     index = _indexed(sets)
     first = index.groupBy("token").agg(F.min(F.struct("p", "unit", "m")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     x, c = index.alias("x"), first.select("token", "c.*").alias("c")
     star = x.join(c, (F.col("x.token") == F.col("c.token")) & (F.col("x.unit") != F.col("c.unit")) & _possible("x", "c"))
     stars = _verified(star.select(*_larger_first(F.col("x.unit"), F.col("c.unit"))).distinct(), sets)
-    near = stars.where("linked").select("a", "b")
+    simhash = _verified(alike, sets)
+    near = stars.unionByName(simhash).where("linked").select("a", "b").distinct()
     roots = components(near)
     members = index.join(roots.select(F.col("a").alias("unit"), F.col("b").alias("root")), "unit", "left")
     members = stage(members.withColumn("root", F.coalesce("root", "unit")), "near-members")
@@ -162,7 +184,7 @@ def links(df: DataFrame, units: DataFrame, key: str, text: str) -> DataFrame:
     rest = x.join(y, apart).select(*_larger_first(F.col("x.unit"), F.col("y.unit"))).distinct()
     more = _verified(rest, sets)
     out = stage(near.unionByName(more.where("linked").select("a", "b")), "near-links")
-    remove(sets, index, stars, roots, members, more)
+    remove(alike, simhash, sets, index, stars, roots, members, more)
     return out
 
 
@@ -171,7 +193,7 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Of rows equal in both one stays. All columns of df are kept. Groups are joined over links."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     rows = _rows(df, key, text)
-    units = rows.groupBy("unit").agg(F.min("size").alias("size"), F.min(row).alias("least"), F.first("keys").alias("keys"))
+    units = rows.groupBy("unit").agg(F.min("size").alias("size"), F.min(row).alias("least"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     units = stage(units, "near-units")
     linked = links(df, units, key, text)
     roots = components(linked)

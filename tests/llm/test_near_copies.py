@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from flowlab.llm import near_copies, simhash
+from flowlab.sources.staging import stage
 from tests.conftest import SMALL
 
 
@@ -100,3 +101,18 @@ def test_unlike_texts_with_a_common_passage_make_few_pairs(spark, monkeypatch):
     assert {k for k in got if k < 2000} == set(range(2000))
     assert {k for k in got if k >= 2000} == groups(keyed[2000:])
     assert sum(compared) < 3000
+
+
+def test_simhash_groups_are_compared(spark, monkeypatch):
+    """Units of one fingerprint group are candidates, and links among them count without any shared MinHash key."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(1500)]
+    near, other = base[:-1] + ["changed"], [f"v{r.randrange(5000)}" for _ in range(1500)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other))]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= simhash.BITS
+    units = [(near_copies._unit(near_copies.shingles(t)), simhash.fingerprint(t)) for _, t in rows]
+    pairs = near_copies.fingerprint_pairs(spark.createDataFrame(units, "unit string, fp bigint")).collect()
+    assert [(p.a, p.b) for p in pairs] == [(max(units[0][0], units[1][0]), min(units[0][0], units[1][0]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_copies, "_indexed", lambda sets: stage(spark.createDataFrame([], "token bigint, unit string, m int, p int"), "none"))
+    assert {x.doc_id for x in near_copies.representatives(df).collect()} == {1, 3}
