@@ -109,16 +109,17 @@ def read_recursive(spark: SparkSession, root: str, preferred: str = PREFERRED) -
         return reader.option("pathGlobFilter", "*.parquet").parquet(root)
 
 
-def write_table(df: DataFrame, path: str, shuffled: bool = False) -> None:
+def write_table(df: DataFrame, path: str, gathered: bool = False) -> None:
     """Replace the partitions of a stage table that df has rows for.
 
-    Rows in scan order meet few sources per task. After a shuffle every task holds every source;
-    they are then gathered by source, where AQE splits large sources over several tasks.
+    Rows in scan order meet few sources per task. After a shuffle every task holds every source, and writes
+    a file for each. `gathered` moves all rows once more, by source, where AQE splits large sources
+    over several tasks: fewer files for many sources, at the price of a second shuffle of whole rows.
     """
     if SOURCE not in df.columns:
         df.write.mode("overwrite").parquet(path)
         return
-    table = df.hint("rebalance", SOURCE) if shuffled else df
+    table = df.hint("rebalance", SOURCE) if gathered else df
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(path)
 
 

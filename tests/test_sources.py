@@ -10,6 +10,7 @@ import pytest
 
 from flowlab.plans import medallion
 from flowlab.sources import staging, tables
+from tests.conftest import SMALL
 
 DAYS = ["monday_CICFlowMeter.parquet", "tuesday_CICFlowMeter.parquet"]
 
@@ -101,3 +102,15 @@ def test_files_of_differing_columns(spark, tmp_path):
         next((raw / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
     table = tables.ingest(spark, str(folder), str(tmp_path / "bronze"))
     assert {(r.id, r.x, r.y, r.source_file) for r in table.collect()} == {(1, 2, None, "a.parquet"), (3, None, "y", "b.parquet")}
+
+
+@pytest.mark.parametrize("name", ["silver_write", "gold_write", "raw_to_gold"])
+def test_stage_tables_are_not_shuffled_again_for_the_write(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from flowlab import queries
+
+    hints = []
+    original = Classic.hint
+    monkeypatch.setattr(Classic, "hint", lambda self, *a: hints.append(a) or original(self, *a))
+    assert queries.REGISTRY[name](spark, SMALL).count() > 0 and not hints
