@@ -91,20 +91,24 @@ def fit(
             for i in np.flatnonzero(~np.array(varies)):
                 gradient[i], hessian[i, i] = 0.0, 1.0
             coefficients = coefficients + np.linalg.solve(hessian, gradient)
-        gradient = _sums(rows, names, coefficients)[0] - ridge @ coefficients
+        gradient = _sums(rows, names, coefficients, curvature=False)[0] - ridge @ coefficients
     finally:
         rows.unpersist()
     return Fit(features, mean, deviation, coefficients, gradient * np.array(varies), row["n"])
 
 
-def _sums(rows: DataFrame, names: list[str], coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the log likelihood and the negative Hessian, from one aggregation."""
+def _sums(
+    rows: DataFrame, names: list[str], coefficients: np.ndarray, curvature: bool = True
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Gradient of the log likelihood and, on request, the negative Hessian, from one aggregation."""
     p = _probability(coefficients, [F.col(z) for z in names])
     marked = rows.select("*", p.alias("p")).select("*", (F.col("y") - F.col("p")).alias("r"), (F.col("p") * (1 - F.col("p"))).alias("w"))
     x = [F.lit(1.0), *map(F.col, names)]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))] if curvature else []
     sums = [F.sum(F.col("r") * c) for c in x] + [F.sum(F.col("w") * x[i] * x[j]) for i, j in pairs]
     values = np.array(marked.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first(), dtype=float)
+    if not curvature:
+        return values, None
     hessian = np.zeros((len(x), len(x)))
     for (i, j), v in zip(pairs, values[len(x) :]):
         hessian[i, j] = hessian[j, i] = v

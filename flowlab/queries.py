@@ -634,6 +634,12 @@ def _model_sides(spark, folder) -> tuple[DataFrame, DataFrame]:
     return split.hash_split(table, KEYS)
 
 
+def _fit_rows(spark, folder) -> DataFrame:
+    """The training side alone, staged without its keys: the rows are drawn once, not in every scan."""
+    train, _ = split.hash_split(experiments.prepared(gold(spark, folder), KEYS), KEYS)
+    return stage(train.select(*FEATURES, TARGET), "train")
+
+
 @query
 def model_stages(spark, folder):
     """Assembler, scaler and classifier as one fitted unit: its coefficients."""
@@ -664,13 +670,13 @@ def logreg_l2_metrics(spark, folder):
 @query
 def logreg_coefficients(spark, folder):
     """Logistic regression without penalty by Newton steps: coefficients per standard deviation."""
-    return rounded(newton.fit(_model_sides(spark, folder)[0]).table(spark))
+    return rounded(newton.fit(_fit_rows(spark, folder)).table(spark))
 
 
 @query
 def logreg_l2_coefficients(spark, folder):
     """With a penalty of |w|^2 / 2 on the summed loss, on population z-scores."""
-    return rounded(newton.fit(_model_sides(spark, folder)[0], penalty=1.0, population=True).table(spark))
+    return rounded(newton.fit(_fit_rows(spark, folder), penalty=1.0, population=True).table(spark))
 
 
 @query
