@@ -14,6 +14,7 @@ from flowlab.operators import clean
 from flowlab.operators.ordering import running_totals
 from flowlab.operators.profile import melt
 from flowlab.schemas import FEATURES, TARGET
+from flowlab.sources.staging import stage
 
 HIGH_CORRELATION = 0.70
 # The rank of an approximate median is off by one part in so many at most.
@@ -28,19 +29,30 @@ def value_counts(df: DataFrame, features: Sequence[str] = FEATURES, target: str
     """
     y = F.col(target)
     named = {str(i): f for i, f in enumerate(features)}
-    long = df.select(y, *(finite(F.col(f)).alias(i) for i, f in named.items())).unpivot(
-        [target], list(named), "position", "value"
-    )
+    one = F.when(y == 1, 1).otherwise(0).cast("bigint").alias("_one")
+    # No filter on the target: it would be pushed below the removal of copies, where labels are cleaned a second time.
+    wide = df.select(one, *(F.when(y.isin(0, 1), finite(F.col(f))).alias(i) for i, f in named.items()))
     return (
-        long.where(F.col("value").isNotNull() & y.isin(0, 1))
+        wide.unpivot(["_one"], list(named), "position", "value").where(F.col("value").isNotNull())
         .groupBy(F.col("position").cast("int").alias("position"), "value")
-        .agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_one").alias("n1"))
+        .select("position", "value", (F.col("n") - F.col("n1")).alias("n0"), "n1")
     )
 
 
+def staged_counts(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+    """value_counts, written once: ranges are drawn from a first look at the rows, which would merge them all again."""
+    return stage(value_counts(df, features, target), "counts")
+
+
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """Value counts with the rows of each class below every value."""
+    return running_totals(counts, ["position"], ["value"], ["n0", "n1"])
+
+
 def ranked_values(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
     """value_counts with the rows of each class below every value."""
-    return running_totals(value_counts(df, features, target), ["position"], ["value"], ["n0", "n1"])
+    return ranked_counts(staged_counts(df, features, target))
 
 
 def auc_of(n0: Column, n1: Column, n0_before: Column, n0_total: Column, n1_total: Column) -> Column:
@@ -124,6 +136,33 @@ def class_moments(df: DataFrame, features: Sequence[str] = FEATURES, target: str
     )
 
 
+def count_moments(counts: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """class_moments from value counts that hold at least one row: sums over the distinct values, then over their squared
+    distances from the means. The means, one row per feature, are broadcast. counts is scanned twice."""
+    v = F.col("value")
+    sums = counts.groupBy("position").agg(*(
+        a for k in (0, 1) for a in (F.sum(f"n{k}").alias(f"total{k}"), F.sum(F.col(f"n{k}") * v).alias(f"sum{k}"))
+    ))
+    means = sums.select("position", *(
+        c for k in (0, 1) for c in (F.col(f"total{k}"), F.try_divide(f"sum{k}", f"total{k}").alias(f"mean{k}"))
+    ))
+    # Far values of the other class must not make 0 * Infinity.
+    spread = counts.join(F.broadcast(means), "position").groupBy("position", *means.columns[1:]).agg(*(
+        F.sum(F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * (v - F.col(f"mean{k}")) * (v - F.col(f"mean{k}")))).alias(f"squares{k}")
+        for k in (0, 1)
+    ))
+    names = counts.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, features))).alias("position", "feature"))
+    return names.join(spread, "position", "left").select(
+        "feature",
+        F.coalesce("total0", F.lit(0)).alias("normal_count"),
+        F.coalesce("total1", F.lit(0)).alias("attack_count"),
+        F.col("mean0").alias("normal_mean"),
+        F.col("mean1").alias("attack_mean"),
+        F.try_divide("squares0", F.col("total0") - 1).alias("normal_var"),
+        F.try_divide("squares1", F.col("total1") - 1).alias("attack_var"),
+    )
+
+
 def cohens_d() -> Column:
     """Absolute mean difference over the pooled sample deviation; 0.0 where it is undefined."""
     n0, n1 = F.col("normal_count"), F.col("attack_count")
@@ -141,9 +180,11 @@ def effect_band(d: Column) -> Column:
 
 
 def separability(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
-    """One row per feature: counts, means, medians, AUC, separability and effect size."""
-    moments = class_moments(df, features, target)
-    ranks = rank_statistics(ranked_values(df, features, target), features)
+    """One row per feature: counts, means, medians, AUC, separability and effect size. One pass over df: everything follows
+    from its value counts. Only if no feature has a finite value is df scanned again."""
+    counts = staged_counts(df, features, target)
+    moments = class_moments(df, features, target) if counts.isEmpty() else count_moments(counts, features)
+    ranks = rank_statistics(ranked_counts(counts), features)
     return moments.join(ranks, "feature", "left").select(
         "feature", "normal_count", "attack_count", "normal_mean", "attack_mean",
         "normal_median", "attack_median", "auc", "separability_auc",

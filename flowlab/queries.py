@@ -457,7 +457,7 @@ def constraint_report(spark, folder):
 
 @query
 def class_stats(spark, folder):
-    table = analysis.separability(stage(gold(spark, folder).select(*FEATURES, TARGET), "gold"))
+    table = analysis.separability(gold(spark, folder).select(*FEATURES, TARGET))
     return rounded(table.drop("auc", "separability_auc", "effect_size", "effect_band"), 4)
 
 

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 
-from flowlab.operators import analysis, evaluate, features, results
+from flowlab.operators import analysis, evaluate, features, ordering, results
+from flowlab.sources import staging
 
 FEATURES = ["x", "y", "c"]
 
@@ -61,6 +62,40 @@ def test_one_class_only(df):
     assert r.normal_count == 0 and r.effect_size == 0.0
 
 
+@pytest.mark.parametrize("rows", [
+    [(1e100, 0.5, None, 1), (2e100, -3.0, None, 1), (0.25, 1e9, None, 0), (0.25, 1e9 + 1, None, 0), (4.0, 1e9, None, 0), (9.0, 9.0, None, None)],
+    [(1.0, None, None, 0), (2.0, float("nan"), None, 1), (0.0, float("inf"), None, 1)],
+    [(None, None, None, 0), (None, float("nan"), None, 1)],
+    [(1.0, 1.0, 1.0, None)],
+    [],
+])
+def test_separability_has_the_class_moments(spark, rows):
+    df = spark.createDataFrame(rows, "x double, y double, c double, is_attack int").repartition(3)
+    names = ["normal_count", "attack_count", "normal_mean", "attack_mean"]
+    want = analysis.class_moments(df, FEATURES).select("feature", *names, analysis.cohens_d().alias("effect_size"))
+    got = analysis.separability(df, FEATURES).select("feature", *names, "effect_size")
+    want, got = ({r.feature: r[1:] for r in t.collect()} for t in (want, got))
+    assert set(got) == set(want)
+    for f in want:
+        assert got[f] == pytest.approx(want[f], nan_ok=True)
+
+
+def test_separability_reads_its_input_once_and_ranges_are_drawn_from_written_counts(spark, df, monkeypatch):
+    plans = {}
+
+    def recording(table, name):
+        plans.setdefault(name, []).append(table._jdf.queryExecution().executedPlan().toString())
+        return staging.stage(table, name)
+
+    for module in (analysis, ordering):
+        monkeypatch.setattr(module, "stage", recording)
+    result = analysis.separability(df, FEATURES)
+    assert len(plans["counts"]) == 1 and "RoundRobinPartitioning" in plans["counts"][0]
+    assert "HashAggregate" not in plans["slices"][0]
+    # df is shuffled round robin, so a second scan of it would show.
+    assert "RoundRobinPartitioning" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 def test_correlation(df, data):
     got = {(r.feature_1, r.feature_2): r.correlation for r in analysis.correlation(df, FEATURES).collect()}
     ok = np.array([r[:3] for r in data if r[0] is not None and math.isfinite(r[0])])
