@@ -484,7 +484,7 @@ def feature_auc(spark, folder):
 
 @query
 def separability_ranking(spark, folder):
-    table = analysis.separability_ranking(analysis.separability(stage(gold(spark, folder).select(*FEATURES, TARGET), "gold")))
+    table = analysis.separability_ranking(analysis.separability(gold(spark, folder).select(*FEATURES, TARGET)))
     return rounded(table.select("feature", "separability_auc", "effect_size", "effect_band"))
 
 
